@@ -13,8 +13,9 @@ Method: set-relation skipping over inverted lists.
   rounds with ranks 1-7, 8-63, 64-511 and all others, so no pair that could add a link is left out.
 * Equal sets within a task enter the index once.
 
-Candidates are checked on their whole sets, of 64-bit token hashes. Only the least prefix of each set, and the sets
-of candidates, are shuffled; texts never are.
+Candidates are first held against signatures: the parities of a set's tokens in about two bits a token. Each differing
+bit needs a token in which the sets differ, so pairs with too many of them can't link. What remains is checked on the
+whole sets, of 64-bit token hashes. Only prefixes, signatures and the sets of such candidates are shuffled; texts never are.
 
 Nulls and texts without words give the empty set, which links with nothing. Ids must be unique and not null (rows with a
 null id are left out). Other columns are ignored.
@@ -61,6 +62,22 @@ def shingles(text: str | None, words: int) -> np.ndarray:
     return np.unique(np.fromiter([_hash(joined[a:b]) for a, b in zip(start, end, strict=True)], np.uint64, len(start)))
 
 
+def signature(tokens: np.ndarray) -> bytes:
+    """Parity of the tokens that fall on each bit; 64 to 4096 bits, a power of two."""
+    bits = min(4096, max(64, 1 << (2 * len(tokens) - 1).bit_length())) if len(tokens) else 64
+    at = ((tokens >> np.uint64(24)) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def differing(a: bytes, b: bytes) -> int:
+    """Bits in which two signatures differ, the longer one folded to the length of the shorter: at most the tokens that only one set has."""
+    x, y = (np.frombuffer(s, np.uint8) for s in (a, b))
+    while len(x) != len(y):
+        x, y = (x, y) if len(x) < len(y) else (y, x)
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def _counter_of(tokens: np.ndarray) -> np.ndarray:
     return (tokens & np.uint64(COUNTERS - 1)).astype(np.int64)
 
@@ -68,13 +85,13 @@ def _counter_of(tokens: np.ndarray) -> np.ndarray:
 def _count(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, np.uint32)
-        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("slice", pa.int32()), ("blob", pa.binary())])
+        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("slice", pa.int32()), ("blob", pa.binary())])  # of a document or of a slice
         for batch in batches:
             sets = [(i, shingles(t, words)) for i, t in texts(batch)]
             if sets:
                 total += np.bincount(_counter_of(np.concatenate([s for _, s in sets])), minlength=COUNTERS).astype(np.uint32)
                 n = len(sets)
-                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in sets], pa.int64()), pa.array([len(s) for _, s in sets], pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in sets], pa.int64()), pa.array([len(s) for _, s in sets], pa.int64()), pa.nulls(n, pa.int32()), pa.array([signature(s) for _, s in sets], pa.binary())], schema=schema)
         if total.any():
             parts = np.minimum(total, 65535).astype("<u2").reshape(SLICES, -1)
             yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.array(range(SLICES), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], schema=schema)
@@ -236,6 +253,19 @@ def _sets(words: int, bits):
     return run
 
 
+def _possible(num: int, den: int):
+    """Pairs whose signatures leave room for the similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total = column(batch, "na").to_numpy() + column(batch, "nb").to_numpy()
+            room = total - 2 * -(-num * total // (num + den))
+            apart = np.fromiter(map(differing, column(batch, "xa").to_pylist(), column(batch, "xb").to_pylist()), np.int64, batch.num_rows)
+            yield batch.filter(pa.array(apart <= room)).select(["a", "b"])
+
+    return run
+
+
 def _verify(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -261,6 +291,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, words: int = 5, num
     docs = id_text(docs)
     counted = work.save(docs.mapInArrow(_count(words), "doc_id long, n long, slice int, blob binary"), "counted")
     sizes = counted.where("doc_id IS NOT NULL").select("doc_id", "n")
+    signs = counted.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), "n", F.col("blob").alias("x"))
     mean = (sizes.agg(F.sum("n")).first()[0] or 0) / COUNTERS
     slices = counted.where("slice IS NOT NULL").select("slice", "blob").repartitionById(SLICES, "slice")
     kinds = np.zeros(COUNTERS, np.uint8).reshape(SLICES, -1)
@@ -271,7 +302,13 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, words: int = 5, num
     lists = work.save(dealt.mapInArrow(_lists(num, den, block), LISTS), "lists")
 
     links = lists.where("kind = 0").select(F.col("doc").alias("a"), F.col("lead").alias("b"))
-    pairs = work.save(lists.where("kind = 1").select(F.col("lead").alias("a"), F.col("doc").alias("b")).distinct(), "pairs")
+
+    def possible(two: DataFrame, name: str) -> DataFrame:
+        with_b = two.join(signs.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("x").alias("xb")), "b")
+        with_a = with_b.join(signs.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("x").alias("xa")), "a")
+        return work.save(with_a.select("a", "b", "na", "nb", "xa", "xb").mapInArrow(_possible(num, den), "a long, b long"), name)
+
+    pairs = possible(lists.where("kind = 1").select(F.col("lead").alias("a"), F.col("doc").alias("b")).distinct(), "pairs")
     long = lists.where("kind = 2")
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(long.select(F.col("doc").alias("id")))
     bits = ids.coalesce(8).mapInArrow(_id_filter, "blob binary").repartition(1).mapInArrow(_or, "blob binary").first()["blob"]
@@ -309,7 +346,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, words: int = 5, num
         )
         sure = F.coalesce(c("x.both") + c("y.both") - c("x.n_lead") >= need, F.lit(False))
         met = work.save(met.select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b"), sure.alias("sure")).distinct(), f"met{r}")
-        checked = verified(met.where("NOT sure").select("a", "b"), f"verified{r + 1}")
+        checked = verified(possible(met.where("NOT sure").select("a", "b"), f"possible{r}"), f"verified{r + 1}")
         links = links.unionByName(met.where("sure").select("a", "b")).unionByName(checked.where("linked").select("a", "b"))
     label = components(work, links, "last").select(F.col("id").alias("doc_id"), "component")
     return sizes.join(label, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
