@@ -253,6 +253,17 @@ def _sets(words: int, bits):
     return run
 
 
+def _only(bits):
+    """Rows whose id passes the filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = np.unpackbits(bits.value).astype(bool)
+        for batch in batches:
+            yield batch.filter(pa.array(wanted[_filter_bit(column(batch, "id").to_numpy(zero_copy_only=False))]))
+
+    return run
+
+
 def _possible(num: int, den: int):
     """Pairs whose signatures leave room for the similarity."""
 
@@ -310,14 +321,20 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, words: int = 5, num
 
     pairs = possible(lists.where("kind = 1").select(F.col("lead").alias("a"), F.col("doc").alias("b")).distinct(), "pairs")
     long = lists.where("kind = 2")
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(long.select(F.col("doc").alias("id")))
-    bits = ids.coalesce(8).mapInArrow(_id_filter, "blob binary").repartition(1).mapInArrow(_or, "blob binary").first()["blob"]
-    bits = spark.sparkContext.broadcast(np.frombuffer(bits, np.uint8))
-    sets = work.save(docs.mapInArrow(_sets(words, bits), "id long, tokens binary"), "sets")
+
+    def ends(two: DataFrame) -> DataFrame:
+        return two.select(F.col("a").alias("id")).unionByName(two.select(F.col("b").alias("id")))
+
+    def id_filter(ids: DataFrame):
+        parts = ids.coalesce(8).mapInArrow(_id_filter, "blob binary").repartition(1)
+        return spark.sparkContext.broadcast(np.frombuffer(parts.mapInArrow(_or, "blob binary").first()["blob"], np.uint8))
+
+    sets = work.save(docs.mapInArrow(_sets(words, id_filter(ends(pairs).unionByName(long.select(F.col("doc").alias("id"))))), "id long, tokens binary"), "sets")
 
     def verified(two: DataFrame, name: str) -> DataFrame:
-        with_b = two.join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("sb")), "b")
-        with_a = with_b.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("sa")), "a")
+        needed = sets.mapInArrow(_only(id_filter(ends(two))), "id long, tokens binary")
+        with_b = two.join(needed.select(F.col("id").alias("b"), F.col("tokens").alias("sb")), "b")
+        with_a = with_b.join(needed.select(F.col("id").alias("a"), F.col("tokens").alias("sa")), "a")
         return work.save(with_a.select("a", "b", "sa", "sb").mapInArrow(_verify(num, den), "a long, b long, both long, na long, nb long, linked boolean"), name)
 
     first = verified(pairs, "verified0")
