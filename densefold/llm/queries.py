@@ -2,18 +2,81 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from densefold.llm import jaccard
+from densefold.llm import bpe, embeddings, fingerprints, jaccard, langid, licenses, packing, substrings, tokenfile, warc
+
+VOCABULARY = "byte_bpe_50k.json"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _path() -> str:
+    return public_tokenizers.path(VOCABULARY)
+
+
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(spark, _table(spark, sf_dir, "documents"), words=4, num=85, den=100)
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard,)}
-ORACLES: dict[str, str] = {}
+def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = bpe.round_trip(_table(spark, sf_dir, "documents"), _path())
+    sha = lambda c: F.sha2(F.col(c).cast("binary"), 256)
+    return done.select("doc_id", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), sha("ids").alias("ids_sha256"), sha("decoded").alias("decoded_sha256"))
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_sentences", F.array_join("sentences", ",").alias("sentences"), F.size("licenses").cast("long").alias("n_licenses"), F.array_join("licenses", ",").alias("licenses"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(spark, _table(spark, sf_dir, "documents"))
+
+
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    work, index = tokenfile.write(spark, _table(spark, sf_dir, "documents"), _path(), end_id=0)
+    return tokenfile.digests(tokenfile.read(spark, work, index))
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = substrings.remove_repeats(spark, _table(spark, sf_dir, "documents"), length=50)
+    return done.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.archive_and_read(spark, _table(spark, sf_dir, "pages"))
+    return read.select("page_id", "payload_bytes", F.col("payload_sha1").alias("payload_digest"), F.col("warc_type").alias("record_type"), "refers_to")
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(spark, _table(spark, sf_dir, "documents"), _path(), end_id=2, cap=1024)
+
+
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(spark, _table(spark, sf_dir, "embeddings"), least=0.98)
+
+
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.with_next(spark, _table(spark, sf_dir, "documents"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_ngram_jaccard, op2_bpe_round_trip, op3_license_scan, op4_language_id, op5_token_files, op6_substring_dedup, op7_warc, op8_best_fit_packing, op9_embedding_dedup, op10_fingerprints, pipeline,
+)}
+#: SQL says the same where no tokenizer, trained model or iteration is involved.
+ORACLES = {
+    "op7_warc": """WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), d AS (SELECT page_id, strlen(h) AS n, sha1(h) AS s FROM p),
+ r AS (SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY s, n) ELSE page_id END AS holder FROM d)
+ SELECT page_id, n AS payload_bytes, s AS payload_digest, CASE WHEN holder = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN holder = page_id THEN NULL ELSE holder END AS refers_to FROM r""",
+}
