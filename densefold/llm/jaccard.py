@@ -315,8 +315,8 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, words: int = 5, num
     links = lists.where("kind = 0").select(F.col("doc").alias("a"), F.col("lead").alias("b"))
 
     def possible(two: DataFrame, name: str) -> DataFrame:
-        with_b = two.join(signs.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("x").alias("xb")), "b")
-        with_a = with_b.join(signs.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("x").alias("xa")), "a")
+        with_b = two.join(signs.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("x").alias("xb")).hint("merge"), "b")
+        with_a = with_b.join(signs.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("x").alias("xa")).hint("merge"), "a")
         return work.save(with_a.select("a", "b", "na", "nb", "xa", "xb").mapInArrow(_possible(num, den), "a long, b long"), name)
 
     pairs = possible(lists.where("kind = 1").select(F.col("lead").alias("a"), F.col("doc").alias("b")).distinct(), "pairs")
@@ -333,8 +333,9 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, words: int = 5, num
 
     def verified(two: DataFrame, name: str) -> DataFrame:
         needed = sets.mapInArrow(_only(id_filter(ends(two))), "id long, tokens binary")
-        with_b = two.join(needed.select(F.col("id").alias("b"), F.col("tokens").alias("sb")), "b")
-        with_a = with_b.join(needed.select(F.col("id").alias("a"), F.col("tokens").alias("sa")), "a")
+        # Sets have no size bound, so they are shuffled at every size of the input, never broadcast.
+        with_b = two.join(needed.select(F.col("id").alias("b"), F.col("tokens").alias("sb")).hint("merge"), "b")
+        with_a = with_b.join(needed.select(F.col("id").alias("a"), F.col("tokens").alias("sa")).hint("merge"), "a")
         return work.save(with_a.select("a", "b", "sa", "sb").mapInArrow(_verify(num, den), "a long, b long, both long, na long, nb long, linked boolean"), name)
 
     first = verified(pairs, "verified0")
