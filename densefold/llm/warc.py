@@ -190,9 +190,11 @@ class WarcReader(DataSourceReader):
         if manifests:
             named = {n for m in manifests for n in fs.open_input_stream(m).read().decode().split()}
             listed = [p for p in listed if p.rsplit("/", 1)[-1] in named]
-        return [_File(p) for p in sorted(listed)]
+        return [_File(p) for p in sorted(listed)] or [_File("")]  # Spark reads without a partition object where there is none
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+        if not partition.value:
+            return
         fs, _ = _place(self.path)
         rows, held = [], 0
         with fs.open_input_file(partition.value) as stream:
