@@ -4,7 +4,8 @@ Method: length-delimited binary records. Each document is one record
 
     length (uint64) | masked CRC-32 of the length (uint32) | payload | masked CRC-32 of the payload (uint32)
 
-little-endian throughout; the payload is the document's id (int64) and its token ids (uint32 each). A mask turns the
+little-endian throughout; the payload is the document's id (int64), the bytes an id takes (uint8: 2 if all ids of the vocabulary fit, else 4)
+and the document's token ids. A mask turns the
 checksum by 15 bits and adds a constant, so that checksums of data that hold checksums stay good. Files go in ascending
 doc_id order, one for each range of ids. The index, a Parquet table, has file, offset and length of every
 record, for reads in any order.
@@ -20,13 +21,14 @@ import struct
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pfs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from densefold.llm.bpe import whole_encoder
+from densefold.llm.bpe import vocabulary, whole_encoder
 from densefold.llm.common import Scratch, column, id_text, n_buckets, texts
 
 # The mask of the framing's checksums.
@@ -40,9 +42,9 @@ def masked_crc(data: bytes) -> int:
     return ((c >> 15 | c << 17) + MASK) & 0xFFFFFFFF
 
 
-def frame(payload: bytes) -> bytes:
-    head = struct.pack("<Q", len(payload))
-    return b"".join((head, struct.pack("<I", masked_crc(head)), payload, struct.pack("<I", masked_crc(payload))))
+def frame(data: bytes) -> bytes:
+    head = struct.pack("<Q", len(data))
+    return b"".join((head, struct.pack("<I", masked_crc(head)), data, struct.pack("<I", masked_crc(data))))
 
 
 def records(stream) -> Iterator[tuple[int, bytes]]:
@@ -65,10 +67,10 @@ def records(stream) -> Iterator[tuple[int, bytes]]:
             raise ValueError(f"record at {at}: bad checksum of the length")
         if not need(k + 16 + size):
             raise ValueError(f"record at {at}: cut short")
-        payload = held[k + 12 : k + 12 + size]
-        if masked_crc(payload) != struct.unpack_from("<I", held, k + 12 + size)[0]:
+        data = held[k + 12 : k + 12 + size]
+        if masked_crc(data) != struct.unpack_from("<I", held, k + 12 + size)[0]:
             raise ValueError(f"record at {at}: bad checksum of the payload")
-        yield at, payload
+        yield at, data
         at += 16 + size
         k += 16 + size
         if k > READ_BYTES:
@@ -77,9 +79,21 @@ def records(stream) -> Iterator[tuple[int, bytes]]:
         raise ValueError(f"record at {at}: cut short")
 
 
+def payload(doc: int, ids: bytes, width: int) -> bytes:
+    """Payload of 32-bit ids, stored at the given width."""
+    return struct.pack("<qB", doc, width) + (ids if width == 4 else np.frombuffer(ids, "<u4").astype("<u2").tobytes())
+
+
+def unpacked(data: bytes) -> tuple[int, bytes]:
+    """(doc_id, 32-bit ids) of a payload."""
+    doc, width = struct.unpack_from("<qB", data)
+    return doc, data[9:] if width == 4 else np.frombuffer(data, "<u2", offset=9).astype("<u4").tobytes()
+
+
 def _write(uri: str, path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = whole_encoder(path).encode, struct.pack("<I", end_id)
+        width = 2 if max(end_id, *vocabulary(path).bytes) < 65536 else 4
         fs, folder = pfs.FileSystem.from_uri(uri)
         context = TaskContext.get()
         shard, out, at = context.partitionId(), None, 0
@@ -89,7 +103,7 @@ def _write(uri: str, path: str, end_id: int):
                 rows, framed = [], []
                 for doc, text in texts(batch):
                     ids = encode(text) + end
-                    data = frame(struct.pack("<q", doc) + ids)
+                    data = frame(payload(doc, ids, width))
                     rows.append((doc, at, len(data), len(ids) // 4))
                     framed.append(data)
                     at += len(data)
@@ -120,10 +134,11 @@ def _read(uri: str):
                 rows: list[tuple[int, int, bytes]] = []
                 held = 0
                 with fs.open_input_stream(f"{folder}/{name}") as stream:
-                    for _, payload in records(stream):
-                        rows.append((struct.unpack_from("<q", payload)[0], start, payload[8:]))
-                        start += len(payload) // 4 - 2
-                        held += len(payload)
+                    for _, data in records(stream):
+                        doc, ids = unpacked(data)
+                        rows.append((doc, start, ids))
+                        start += len(ids) // 4
+                        held += len(ids)
                         if held > READ_BYTES:
                             yield _read_batch(rows)
                             rows, held = [], 0
@@ -158,8 +173,8 @@ def _fetch(uri: str):
                 if file != name:
                     name, stream = file, fs.open_input_file(f"{folder}/{file}")
                 stream.seek(offset)
-                ((_, payload),) = records(pa.BufferReader(stream.read(length)))
-                ids.append(payload[8:])
+                ((_, data),) = records(pa.BufferReader(stream.read(length)))
+                ids.append(unpacked(data)[1])
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     return run
