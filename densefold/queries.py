@@ -11,8 +11,8 @@ from densefold import model
 from densefold.functions import scalar
 from densefold.operators import columnar, dispatch, tabular, text
 from densefold.plans import compress as policy
-from densefold.plans import stats
-from densefold.sources import derived, events
+from densefold.plans import session, stats
+from densefold.sources import derived, events, frames
 from densefold.streaming import stats as stream
 
 S, D = SparkSession, DataFrame
@@ -158,10 +158,25 @@ def stats_report(spark: S, sf: str) -> D:
     return stats.report(_done(spark, sf)).withColumn("line_no", F.col("line_no").cast("bigint"))
 
 
+def _folder(spark: S, name: str) -> str:
+    """A new folder under the one that driver and executors share."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="densefold-")
+    return f"{base.rstrip('/')}/{name}-{spark.sparkContext._jvm.java.util.UUID.randomUUID()}"
+
+
+def framed_sessions(spark: S, sf: str) -> D:
+    """All tool calls written as framed messages, read back and answered: answers by action."""
+    folder = _folder(spark, "frames")
+    calls = derived.tool_calls(spark, sf)
+    params = F.struct("kind", "tool_name", F.struct("command").alias("tool_input"), F.col("output").alias("tool_output"))
+    frames.write(spark, calls.select(F.to_json(F.struct(F.lit("2.0").alias("jsonrpc"), F.col("blob_id").alias("id"), F.lit("hook.handle").alias("method"), params.alias("params"))).alias("body")), folder)
+    answers = session.answers(frames.read(spark, folder))
+    return answers.groupBy(F.get_json_object("body", "$.result.action").alias("action")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(F.octet_length(F.get_json_object("body", "$.result.output")), F.lit(0))).alias("bytes"))
+
+
 def stream_stats(spark: S, sf: str) -> D:
     """The totals once more, from JSON files through a stream with checkpointed state."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="densefold-")
-    run = f"{base.rstrip('/')}/stream-{spark.sparkContext._jvm.java.util.UUID.randomUUID()}"
+    run = _folder(spark, "stream")
     calls = derived.tool_calls(spark, sf)
     calls.select("blob_id", "kind", "tool_name", F.struct("command").alias("tool_input"), F.col("output").alias("tool_output")).write.json(f"{run}/events")
     name = "totals_" + run.rsplit("-", 1)[1]
@@ -172,7 +187,7 @@ def stream_stats(spark: S, sf: str) -> D:
 QUERIES = {f.__name__: f for f in (
     size_floor, already_folded_guard, leading_program, dispatch_layout, dispatch_label, strip_ansi, rstrip_lines, collapse_blank_runs, dup_runs, collapse_dup_runs,
     elide_blobs, common_prefix, text_chain, split_fixed_ws, split_fixed_char, column_encodings, dict_codes, columnar_fold, columnar_unfold_char, columnar_unfold_ws,
-    tabular_columns, tabular_fold, tabular_nested, compress_blobs, compress_documents, hook_responses, stats_by_label, stats_with_total, stats_report, stream_stats,
+    tabular_columns, tabular_fold, tabular_nested, compress_blobs, compress_documents, hook_responses, framed_sessions, stats_by_label, stats_with_total, stats_report, stream_stats,
 )}
 
 # ---- DuckDB ----
@@ -314,6 +329,7 @@ ORACLES = {
  FROM ({_judge(f"SELECT d.doc_id AS blob_id, 'd' AS source, 'text' AS label, d.text AS output, c.text AS folded FROM documents d LEFT JOIN ({_dups(_PLAIN_CHAIN)}) c USING (doc_id)")}) j
  JOIN documents d ON d.doc_id = j.blob_id LEFT JOIN ({_dups(_PLAIN_CHAIN)}) c ON c.doc_id = j.blob_id""",
     "hook_responses": f"SELECT action, count(*) AS n FROM ({_JUDGED}) GROUP BY action",
+    "framed_sessions": f"SELECT action, count(*) AS n, CAST(sum(CASE WHEN action = 'replace' THEN out_bytes ELSE 0 END) AS BIGINT) AS bytes FROM ({_JUDGED}) GROUP BY action",
     "stats_by_label": _BY_LABEL,
     "stats_with_total": _WITH_TOTAL,
     "stats_report": _REPORT,
