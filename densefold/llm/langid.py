@@ -5,16 +5,15 @@ becomes one blank, and all runs of 1 to ``N`` characters are hashed into ``BUCKE
 by language, in one pass that sends no more than one table a task. The matrix of log-probabilities (add-one smoothing; BUCKETS x
 languages, 32-bit) is broadcast; scoring looks up the rows of a batch's features and sums them by text, in numpy.
 
-The prediction depends on the text alone. Texts that are null or have no letter are ``und`` with score 0. The score is the share of the
-text's features' evidence per feature: the softmax of the mean log-probability differences over ``SHARP`` features, so that it lies between
-1/languages and 1 whatever the length. Ties go to the language that sorts first. Without any labelled text, every text is ``und``.
+The prediction depends on the text alone. Texts that are null or have no letter are ``und`` with score 0. The score is the winner's softmax
+share of the mean log-probability of ``SHARP`` features, so that it is comparable between short and long texts. Ties go to the language that sorts first. Without any labelled text, every text is ``und``.
 
 Labels may be null (such rows are not learned from); ids need not be unique; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +26,8 @@ from densefold.llm.common import Scratch, column
 BUCKETS = 1 << 15
 N = 3
 SHARP = 20
+#: Features that are worked on at once.
+HELD = 1 << 18
 #: Labels beyond this number are refused: the matrix is broadcast.
 MOST_LABELS = 500
 UNKNOWN = "und"
@@ -44,7 +45,7 @@ def features(text: str | None) -> np.ndarray:
     for n in range(1, N + 1):
         h = h[: len(c) - n + 1] * np.uint64(0x100000001B3) + c[n - 1 :] + np.uint64(n)
         out.append((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(49))
-    return np.concatenate(out).astype(np.int64)
+    return np.concatenate(out).astype(np.int32)
 
 
 def _count(labels: list[str]):
@@ -52,13 +53,23 @@ def _count(labels: list[str]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(labels), BUCKETS + 1), np.int64)  # the last column counts documents
+        held: dict[int, list[np.ndarray]] = {}
+        size = dict.fromkeys(range(len(labels)), 0)
+
+        def add(k: int) -> None:
+            total[k, :BUCKETS] += np.bincount(np.concatenate(held.pop(k)), minlength=BUCKETS)
+            size[k] = 0
+
         for batch in batches:
-            by: dict[int, list[np.ndarray]] = {}
-            for text, label in zip(column(batch, "text").to_pylist(), column(batch, "label").to_pylist(), strict=True):
-                by.setdefault(place[label], []).append(features(text))
-            for k, f in by.items():
-                total[k, :BUCKETS] += np.bincount(np.concatenate(f), minlength=BUCKETS)
-                total[k, BUCKETS] += len(f)
+            for text, label in zip(column(batch, "text"), column(batch, "label").to_pylist(), strict=True):
+                k, f = place[label], features(text.as_py())
+                total[k, BUCKETS] += 1
+                held.setdefault(k, []).append(f)
+                size[k] += len(f)
+                if size[k] > HELD:
+                    add(k)
+        for k in list(held):
+            add(k)
         seen = np.flatnonzero(total.any(axis=1))
         if len(seen):
             yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array([total[k].tobytes() for k in seen], pa.binary())], ["label", "counts"])
@@ -85,17 +96,18 @@ class Model:
         self.table = np.log(grams / grams.sum(axis=1, keepdims=True)).T.astype(np.float32).copy()
         self.prior = np.log(np.maximum(documents, 1) / max(1, documents.sum()))
 
-    def score(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        found = [features(t) for t in texts]
-        names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
-        if not self.labels:
-            return names, scores
-        for i, f in enumerate(found):
+    def score(self, texts: Iterable[str | None]) -> tuple[list[str], list[float]]:
+        names, scores = [], []
+        for text in texts:
+            f = features(text) if self.labels else ()
+            name, score = UNKNOWN, 0.0
             if len(f):
-                total = self.table[f].sum(axis=0, dtype=np.float64)
+                total = sum(self.table[f[k : k + HELD]].sum(axis=0, dtype=np.float64) for k in range(0, len(f), HELD))
                 best = int((total + self.prior).argmax())
                 mean = (total - total[best]) / len(f) * SHARP
-                names[i], scores[i] = self.labels[best], float(1 / np.exp(np.minimum(mean, 50.0)).sum())
+                name, score = self.labels[best], float(1 / np.exp(np.minimum(mean, 50.0)).sum())
+            names.append(name)
+            scores.append(score)
         return names, scores
 
 
@@ -116,7 +128,7 @@ def train(spark: SparkSession, rows: DataFrame, text: Column, label: Column) ->
 def _predict(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, scores = model.value.score(column(batch, "_text").to_pylist())
+            names, scores = model.value.score(t.as_py() for t in column(batch, "_text"))
             keep = [c for c in batch.schema.names if c != "_text"]
             yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in keep), pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*keep, "lang_pred", "score"])
 
