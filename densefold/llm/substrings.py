@@ -24,7 +24,7 @@ Null texts count as empty. Ids must be unique and not null (rows with a null id
 
 from __future__ import annotations
 
-import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,6 +43,7 @@ PLACE = np.dtype([("doc", "<i8"), ("pos", "<i4")])
 SPAN = np.dtype([("doc", "<i8"), ("start", "<i4"), ("end", "<i4")])
 #: Place that stands for a whole text.
 WHOLE = -1
+_ZSTD = pa.Codec("zstd", 1)
 _POS = np.uint64((1 << 24) - 1)
 #: Bytes of a text that are looked at at once; longer texts are done in overlapping parts.
 PART = 1 << 20
@@ -117,10 +118,10 @@ def _anchor_bucket(h: np.ndarray, buckets: int) -> np.ndarray:
 
 
 class _Sender:
-    """Collects records and gives them away as packed rows."""
+    """Collects records and gives them away as packed rows, compressed if they are mostly text."""
 
-    def __init__(self, kind: int):
-        self.kind, self.rows, self.buckets, self.n = kind, [], [], 0
+    def __init__(self, kind: int, squeeze: bool = False):
+        self.kind, self.squeeze, self.rows, self.buckets, self.n = kind, squeeze, [], [], 0
 
     def add(self, rows: np.ndarray, bucket: np.ndarray) -> None:
         self.rows.append(rows)
@@ -129,7 +130,11 @@ class _Sender:
 
     def out(self, least: int = 1) -> Iterator[pa.RecordBatch]:
         if self.n >= least:
-            yield packed(np.concatenate(self.rows), np.concatenate(self.buckets), self.kind)
+            batch = packed(np.concatenate(self.rows), np.concatenate(self.buckets), self.kind)
+            if self.squeeze:
+                blobs = [struct.pack("<q", len(x)) + _ZSTD.compress(x, asbytes=True) for x in column(batch, "blob").to_pylist()]
+                batch = batch.set_column(batch.schema.get_field_index("blob"), "blob", pa.array(blobs, pa.binary()))
+            yield batch
             self.rows, self.buckets, self.n = [], [], 0
 
 
@@ -161,12 +166,16 @@ def _send_anchors(length: int, span: int, buckets: int):
     return run
 
 
-def _blobs(batches: Iterator[pa.RecordBatch], dtype: np.dtype, passed: list[pa.RecordBatch]) -> np.ndarray:
+def _plain(blob: bytes) -> bytes:
+    return _ZSTD.decompress(blob[8:], struct.unpack_from("<q", blob)[0], asbytes=True)
+
+
+def _blobs(batches: Iterator[pa.RecordBatch], dtype: np.dtype, passed: list[pa.RecordBatch], squeezed: bool = False) -> np.ndarray:
     """The records of kind 0; rows of kind 1, which go on as they are, are added to passed."""
     got = []
     for batch in batches:
         own = column(batch, "kind").to_numpy() == 0
-        got += [np.frombuffer(blob.as_buffer(), dtype) for blob in column(batch.filter(pa.array(own)), "blob")]
+        got += [np.frombuffer(_plain(blob) if squeezed else blob, dtype) for blob in column(batch.filter(pa.array(own)), "blob").to_pylist()]
         if not own.all():
             passed.append(batch.filter(pa.array(~own)))
     return np.concatenate(got) if got else np.zeros(0, dtype)
@@ -225,7 +234,7 @@ def _send_windows(length: int, span: int, buckets: int):
     dtype, wide = _window_dtype(length, span), length + span - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sender, whole = _Sender(0), _Sender(1)
+        sender, whole = _Sender(0, squeeze=True), _Sender(1)
         for by, batch in _records_then_texts(batches, PLACE):
             for doc, text in texts(batch):
                 mine = by.get(doc)
@@ -245,7 +254,7 @@ def _send_windows(length: int, span: int, buckets: int):
                 # From span - 1 bytes left of the anchor to span - 1 bytes right of it.
                 rows["bytes"] = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, wide)[at + 1]).view(f"V{wide}").ravel() if len(at) else rows["bytes"]
                 sender.add(rows, _anchor_bucket(h, buckets))
-            yield from sender.out(HELD * 32)
+            yield from sender.out(HELD * 100)
         yield from sender.out()
         yield from whole.out()
 
@@ -295,7 +304,7 @@ def _repeats(length: int, span: int, buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passed: list[pa.RecordBatch] = []
-        rows = _blobs(batches, dtype, passed)
+        rows = _blobs(batches, dtype, passed, squeezed=True)
         yield from passed
         if not len(rows):
             return
