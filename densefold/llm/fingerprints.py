@@ -80,8 +80,14 @@ def fingerprint(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return u[:SIZE], np.minimum(p[first[:SIZE]], FAR)
 
 
+def as_bytes(f: tuple[np.ndarray, np.ndarray]) -> bytes:
+    """Seven bytes an anchor: four of its hash, three of its position."""
+    both = np.stack([f[0].astype(">u4").view(np.uint8).reshape(-1, 4)[:, k] for k in range(4)] + [f[1].astype(">u4").view(np.uint8).reshape(-1, 4)[:, k] for k in (1, 2, 3)], 1)
+    return both.tobytes()
+
+
 def as_text(f: tuple[np.ndarray, np.ndarray]) -> str:
-    return "".join(f"{h:08x}{p:06x}" for h, p in zip(f[0].tolist(), f[1].tolist(), strict=True))
+    return as_bytes(f).hex()
 
 
 def from_text(s: str) -> tuple[np.ndarray, np.ndarray]:
@@ -106,8 +112,8 @@ def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     return float((middle <= SLACK).sum() / seen)
 
 
-COLS = {"doc_id": pa.int64(), "n_chars": pa.int64(), "edited_sha256": pa.string(), "fingerprint": pa.string(), "edited_fingerprint": pa.string(), "near_edited": pa.float64(), "near_next": pa.float64(), "edge": pa.int32(), "text": pa.string()}
-SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, edge int, text string"
+COLS = {"doc_id": pa.int64(), "n_chars": pa.int64(), "edited_sha256": pa.binary(), "fingerprint": pa.binary(), "edited_fingerprint": pa.binary(), "near_edited": pa.float64(), "near_next": pa.float64(), "edge": pa.int32(), "text": pa.string()}
+SCHEMA = "doc_id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double, edge int, text string"
 
 
 def edited(text: str, following: str) -> str:
@@ -119,7 +125,7 @@ def edited(text: str, following: str) -> str:
 def _row(doc: int, text: str, mine, following: str, its) -> tuple:
     e = edited(text, following)
     fe = fingerprint(e)
-    return doc, len(text), hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest(), as_text(mine), as_text(fe), likeness(mine, fe), likeness(mine, its), None, None
+    return doc, len(text), hashlib.sha256(e.encode("utf-8", "surrogatepass")).digest(), as_bytes(mine), as_bytes(fe), likeness(mine, fe), likeness(mine, its), None, None
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -182,4 +188,6 @@ def with_next(spark: SparkSession, docs: DataFrame) -> DataFrame:
     ordered = id_text(docs).repartitionByRange(n_buckets(spark), F.desc("doc_id")).sortWithinPartitions(F.desc("doc_id"))
     found = work.save(ordered.mapInArrow(_neighbours, SCHEMA), "found")
     ends = found.where("edge IS NOT NULL").repartition(1).sortWithinPartitions(F.desc("doc_id")).mapInArrow(_edges, SCHEMA)
-    return found.where("edge IS NULL").unionByName(ends).drop("edge", "text")
+    text = lambda c: F.lower(F.hex(c)).alias(c)
+    out = found.where("edge IS NULL").unionByName(ends)
+    return out.select("doc_id", "n_chars", text("edited_sha256"), text("fingerprint"), text("edited_fingerprint"), "near_edited", "near_next")
