@@ -385,13 +385,10 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((ids, size, gone, runs, kept), types, strict=True)], ["doc_id", "n_bytes", "n_removed", "spans", "kept"])
 
 
-MIXED = "bucket int, kind int, blob binary, doc_id long, text string"
-
-
 def _beside(records: DataFrame, docs: DataFrame, buckets: int) -> DataFrame:
-    """Records and texts of the same documents in one partition, records first."""
-    r = records.select("bucket", F.lit(0).alias("kind"), "blob", F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("string").alias("text"))
-    t = docs.select(F.pmod(F.col("doc_id").bitwiseXOR(F.shiftright("doc_id", 7)), F.lit(buckets)).cast("int").alias("bucket"), F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("blob"), "doc_id", "text")
+    """Records and texts (with what else docs has) of the same documents in one partition, records first."""
+    r = records.select("bucket", F.lit(0).alias("kind"), "blob", *[F.lit(None).cast(f.dataType).alias(f.name) for f in docs.schema])
+    t = docs.select(F.pmod(F.col("doc_id").bitwiseXOR(F.shiftright("doc_id", 7)), F.lit(buckets)).cast("int").alias("bucket"), F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("blob"), *docs.columns)
     return r.unionByName(t).repartitionById(buckets, "bucket").sortWithinPartitions("kind")
 
 
@@ -421,19 +418,18 @@ def cut_texts(spark: SparkSession, docs: DataFrame, length: int) -> DataFrame:
 
     Characters of which only some bytes are repeated stay. Documents of which no text is left go.
     """
-    given = id_text(docs)
-    spans = _spans(spark, given, length, Scratch(spark, "substrings"))
-    cut = _beside(spans, given, n_buckets(spark)).mapInArrow(_whole_characters, "doc_id long, text string").where("text <> ''")
-    cut = cut.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"))
-    rest = docs.drop("text")
-    out = rest.join(cut, rest["doc_id"].cast("bigint") == cut["_id"])
-    new = {"text": F.col("_text"), "n_chars": F.length("_text").cast("bigint")}
-    return out.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
+    spans = _spans(spark, id_text(docs), length, Scratch(spark, "substrings"))
+    rest = F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns) if c != "text"]).alias("rest")
+    given = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), rest).where("doc_id IS NOT NULL")
+    schema = f"text string, rest {given.schema['rest'].dataType.simpleString()}"
+    cut = _beside(spans, given, n_buckets(spark)).mapInArrow(_whole_characters, schema).where("text <> ''")
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast("bigint")}
+    return cut.select(*[(new[c] if c in new else F.col(f"rest.c{k}")).alias(c) for k, c in enumerate(docs.columns)])
 
 
 def _whole_characters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for by, batch in _records_then_texts(batches, SPAN):
-        ids, kept = [], []
+        kept = []
         for doc, text in texts(batch):
             b = _bytes(text)
             parts, at = [], 0
@@ -445,6 +441,5 @@ def _whole_characters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
                 parts.append(b[at:x])
                 at = y
             parts.append(b[at:])
-            ids.append(doc)
             kept.append(b"".join(parts).decode("utf-8", "surrogatepass") if text is not None else None)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "text"])
+        yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string()), column(batch, "rest")], ["text", "rest"])
