@@ -26,8 +26,8 @@ from densefold.llm.common import Scratch, column
 BUCKETS = 1 << 15
 N = 3
 SHARP = 20
-#: Features that are worked on at once.
-HELD = 1 << 18
+#: Characters of a text that are worked on at once, and features that are held before they are counted.
+STEP, HELD = 1 << 16, 1 << 18
 #: Labels beyond this number are refused: the matrix is broadcast.
 MOST_LABELS = 500
 UNKNOWN = "und"
@@ -35,17 +35,23 @@ UNKNOWN = "und"
 _GAP = regex.compile(r"\P{L}+")
 
 
+def feature_parts(text: str | None) -> Iterator[np.ndarray]:
+    """Feature numbers of all n-grams of a text, some hundred thousand at a time; nothing if it has no letter."""
+    kept = _GAP.sub(" ", text.lower()).strip(" ") if text else ""
+    if not kept:
+        return
+    kept = f" {kept} "
+    for start in range(0, len(kept), STEP):
+        c = np.frombuffer(kept[start : start + STEP + N - 1].encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+        out, h = [], np.zeros(len(c), np.uint64)
+        for n in range(1, N + 1):
+            h = h[: len(c) - n + 1] * np.uint64(0x100000001B3) + c[n - 1 :] + np.uint64(n)
+            out.append((h[:STEP] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(49))
+        yield np.concatenate(out).astype(np.int32)
+
+
 def features(text: str | None) -> np.ndarray:
-    """Feature numbers of all n-grams of a text, none if it has no letter."""
-    kept = _GAP.sub(" ", text.lower()) if text else ""
-    if not kept.strip(" "):
-        return np.zeros(0, np.int64)
-    c = np.frombuffer(f" {kept.strip(' ')} ".encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-    out, h = [], np.zeros(len(c), np.uint64)
-    for n in range(1, N + 1):
-        h = h[: len(c) - n + 1] * np.uint64(0x100000001B3) + c[n - 1 :] + np.uint64(n)
-        out.append((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(49))
-    return np.concatenate(out).astype(np.int32)
+    return np.concatenate([np.zeros(0, np.int32), *feature_parts(text)])
 
 
 def _count(labels: list[str]):
@@ -62,12 +68,13 @@ def _count(labels: list[str]):
 
         for batch in batches:
             for text, label in zip(column(batch, "text"), column(batch, "label").to_pylist(), strict=True):
-                k, f = place[label], features(text.as_py())
+                k = place[label]
                 total[k, BUCKETS] += 1
-                held.setdefault(k, []).append(f)
-                size[k] += len(f)
-                if size[k] > HELD:
-                    add(k)
+                for f in feature_parts(text.as_py()):
+                    held.setdefault(k, []).append(f)
+                    size[k] += len(f)
+                    if size[k] > HELD:
+                        add(k)
         for k in list(held):
             add(k)
         seen = np.flatnonzero(total.any(axis=1))
@@ -99,12 +106,14 @@ class Model:
     def score(self, texts: Iterable[str | None]) -> tuple[list[str], list[float]]:
         names, scores = [], []
         for text in texts:
-            f = features(text) if self.labels else ()
+            total, n = np.zeros(len(self.labels)), 0
+            for f in feature_parts(text) if self.labels else ():
+                total += self.table[f].sum(axis=0, dtype=np.float64)
+                n += len(f)
             name, score = UNKNOWN, 0.0
-            if len(f):
-                total = sum(self.table[f[k : k + HELD]].sum(axis=0, dtype=np.float64) for k in range(0, len(f), HELD))
+            if n:
                 best = int((total + self.prior).argmax())
-                mean = (total - total[best]) / len(f) * SHARP
+                mean = (total - total[best]) / n * SHARP
                 name, score = self.labels[best], float(1 / np.exp(np.minimum(mean, 50.0)).sum())
             names.append(name)
             scores.append(score)

@@ -39,3 +39,10 @@ def test_too_many_labels(spark, monkeypatch):
     monkeypatch.setattr(langid, "MOST_LABELS", 3)
     with pytest.raises(ValueError, match="labels"):
         langid.identify(spark, documents(spark, [(i, "x", f"l{i}") for i in range(20)]))
+
+
+def test_parts_of_long_texts(monkeypatch):
+    text = "The quick brown fox, 12 jumps over! the lazy dog " * 50
+    whole = sorted(langid.features(text).tolist())
+    monkeypatch.setattr(langid, "STEP", 7)
+    assert sorted(langid.features(text).tolist()) == whole
