@@ -19,7 +19,8 @@ Of equal whole texts within a task only the one of the least id takes part; the
 largest is that of a string which all documents hold: one record for each document. Such a group is worked off in chunks in order of doc_id
 against the windows seen so far, so what it holds grows with the different windows, not with the documents.
 
-Null texts count as empty. Ids must be unique and not null (rows with a null id are left out); other columns are ignored.
+Null texts count as empty. Rows with a null id are left out. Rows that repeat an id and its text give as many equal results; an id must not have
+two texts. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -150,6 +151,8 @@ def _send_anchors(length: int, span: int, buckets: int):
                 digest = xxhash.xxh3_128_digest(b)
                 other = least.get(digest)
                 least[digest] = doc if other is None else min(doc, other)
+                if other == doc:  # the same row once more
+                    continue
                 if other is not None:  # the greater one of two equal texts is repeated from end to end
                     place = np.array([(max(doc, other), WHOLE)], PLACE)
                     copies.add(place, _bucket(place["doc"], buckets))

@@ -76,3 +76,9 @@ def test_empty_table(spark):
     assert substrings.remove_repeats(spark, documents(spark, [])).collect() == []
     with pytest.raises(ValueError, match="16"):
         substrings.remove_repeats(spark, documents(spark, []), 15)
+
+
+def test_repeated_rows(spark):
+    text = "a text of more than fifty bytes, which stands in its table twice"
+    got = substrings.remove_repeats(spark, documents(spark, [(5, text), (5, text), (7, text)]).coalesce(1), 50).collect()
+    assert sorted((r.doc_id, r.n_removed) for r in got) == [(5, 0), (5, 0), (7, len(text))]
