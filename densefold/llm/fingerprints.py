@@ -133,8 +133,8 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of all documents of a partition but its last, whose next one is elsewhere; the texts of its first and last (edge: the partition)."""
-    part, held, first = TaskContext.get().partitionId(), None, None
+    """Rows of all documents of a partition but its last, whose next one is elsewhere; the texts of its first and last (edge: the partition, n_chars: which of the two)."""
+    part, held, first, first_only = TaskContext.get().partitionId(), None, None, True
     for batch in batches:
         rows = []
         for doc, text in texts(batch):
@@ -144,12 +144,13 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 first = (doc, text)
             else:
                 rows.append(_row(*held, text, mine))
+                first_only = False
             held = (doc, text, mine)
         if rows:
             yield _batch(rows)
     if held is not None:
-        gap = (None,) * 6
-        yield _batch([(doc, *gap, part, text) for doc, text in dict([first, held[:2]]).items()])
+        ends = [first] if first_only else [first, held[:2]]
+        yield _batch([(doc, k, None, None, None, None, None, part, text) for k, (doc, text) in enumerate(ends)])
 
 
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +188,7 @@ def with_next(spark: SparkSession, docs: DataFrame) -> DataFrame:
     work = Scratch(spark, "fingerprints")
     ordered = id_text(docs).repartitionByRange(n_buckets(spark), F.desc("doc_id")).sortWithinPartitions(F.desc("doc_id"))
     found = work.save(ordered.mapInArrow(_neighbours, SCHEMA), "found")
-    ends = found.where("edge IS NOT NULL").repartition(1).sortWithinPartitions(F.desc("doc_id")).mapInArrow(_edges, SCHEMA)
+    ends = found.where("edge IS NOT NULL").repartition(1).sortWithinPartitions("edge", "n_chars").mapInArrow(_edges, SCHEMA)
     text = lambda c: F.lower(F.hex(c)).alias(c)
     out = found.where("edge IS NULL").unionByName(ends)
     return out.select("doc_id", "n_chars", text("edited_sha256"), text("fingerprint"), text("edited_fingerprint"), "near_edited", "near_next")

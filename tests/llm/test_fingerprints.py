@@ -88,3 +88,9 @@ def test_one_document_and_none(spark):
     assert r.n_chars == 6 and r.edited_sha256 == hashlib.sha256(b"abcabc").hexdigest() and r.near_next == 1
     assert fp.with_next(spark, documents(spark, [])).collect() == []
     assert fp.fingerprints(documents(spark, [(1, None)])).collect()[0].fingerprint == ""
+
+
+def test_repeated_rows(spark):
+    rows = [(1, "one text here"), (1, "one text here"), (2, "another text"), (2, "another text")]
+    got = fp.with_next(spark, documents(spark, rows).repartition(4)).collect()
+    assert sorted(r.doc_id for r in got) == [1, 1, 2, 2]
