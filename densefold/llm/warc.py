@@ -296,15 +296,17 @@ def archive(spark: SparkSession, pages: DataFrame, path: str, least: int = LEAST
     """Write pages (page_id, url, html) as records: of equal payloads of so many bytes or more the one of the greatest page_id is the response.
 
     Digests are compared in a shuffle of their own that carries no payload; a payload that very many pages share is one key of a
-    map-side combined aggregate. Null html is an empty payload. Ids must be unique and not null.
+    map-side combined aggregate. Null html is an empty payload. Rows with a null id are left out;
+    rows that repeat an id are records of their own.
     """
     register(spark)
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload")).where("page_id IS NOT NULL")
-    large = rows.where(F.octet_length("payload") >= least).select("page_id", F.sha1("payload").alias("digest"))
+    rows = rows.withColumn("digest", F.when(F.octet_length("payload") >= least, F.sha1("payload")))
+    large = rows.where("digest IS NOT NULL").select("page_id", "digest")
     several = large.groupBy("digest").agg(F.max("page_id").alias("holder"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    again = large.join(several, "digest").where("page_id <> holder").select("page_id", "holder")
+    again = large.join(several, "digest").where("page_id <> holder").select("page_id", "digest", "holder").distinct()
     urn = lambda c: F.concat(F.lit("urn:page:"), c.cast("string"))
-    out = rows.join(again, "page_id", "left").select(
+    out = rows.join(again, ["page_id", "digest"], "left").select(
         urn(F.col("page_id")).alias("record_id"), F.when(F.col("holder").isNull(), "response").otherwise("revisit").alias("warc_type"), F.col("url").alias("target_uri"), "payload", urn(F.col("holder")).alias("refers_to")
     )
     out.write.format("warc").mode("append").save(path)

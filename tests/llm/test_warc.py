@@ -87,3 +87,9 @@ def test_wrong_digest_is_an_error():
     ((fields, block),) = warc.records(io.BytesIO(data), lambda f: True)
     with pytest.raises(ValueError, match="digest"):
         reader._row(fields, block)
+
+
+def test_repeated_rows(spark):
+    big = "p" * 1000
+    read = warc.archive_and_read(spark, pages(spark, [(1, "u", big), (1, "u", big), (5, "u", big), (5, "u", big), (1, "u", "q" * 1000)]))
+    assert sorted((r.page_id, r.warc_type, r.refers_to) for r in read.select("page_id", "warc_type", "refers_to").collect()) == [(1, "response", None), (1, "revisit", 5), (1, "revisit", 5), (5, "response", None), (5, "response", None)]
