@@ -99,3 +99,8 @@ def test_empty_table(spark):
     assert embeddings.near_duplicates(spark, frame(spark, [])).collect() == []
     with pytest.raises(ValueError, match="cosine"):
         embeddings.near_duplicates(spark, frame(spark, []), least=2)
+
+
+def test_repeated_rows(spark):
+    got = embeddings.near_duplicates(spark, frame(spark, [(5, [1.0, 2.0], 1), (5, [1.0, 2.0], 1), (4, [3.0, -1.0], 1)])).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(4, 0, 4), (5, 1, 5), (5, 1, 5)]

@@ -47,3 +47,9 @@ def test_signatures_bound_the_difference():
 def test_bad_similarity(spark):
     with pytest.raises(ValueError, match="similarity"):
         jaccard.jaccard_components(spark, documents(spark, []), num=3, den=2)
+
+
+def test_repeated_rows(spark):
+    text = "a b c d e f g h"
+    got = jaccard.jaccard_components(spark, documents(spark, [(5, text), (5, text), (7, text), (9, None), (9, None)]), 4, 85, 100).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(5, 5), (5, 5), (7, 5), (9, 9), (9, 9)]

@@ -66,3 +66,8 @@ def test_pieces_and_places(spark):
         assert at <= 128
     assert len(sequences) <= sum(r.length for r in got) / 128 * 1.05 + 2
     assert packing.pack(spark, documents(spark, []), PATH, end_id=2).collect() == []
+
+
+def test_repeated_rows(spark):
+    got = packing.pack(spark, documents(spark, [(5, "some text"), (5, "some text")]), PATH, end_id=2).collect()
+    assert len(got) == 2 and len({(r.sequence_id, r.offset) for r in got}) == 2
