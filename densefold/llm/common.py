@@ -40,9 +40,11 @@ class Scratch:
         #: As executors reach it, with its scheme.
         self.uri = self._fs.makeQualified(self._root).toString()
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, free: bool = True) -> DataFrame:
+        """Write a step and read it back; free lets go of the shuffle files that it needed (not worth the pause after small steps)."""
         df.write.parquet(f"{self.path}/{name}")
-        release(self.spark)
+        if free:
+            release(self.spark)
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
     def drop(self, *names: str) -> None:
@@ -96,26 +98,26 @@ def components(work: Scratch, links: DataFrame, name: str) -> DataFrame:
     A node with very many links is one key of an aggregate that combines on the map side, and of joins
     whose large partitions Spark splits.
     """
-    edges = work.save(links.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).where("u <> v").distinct(), f"{name}-e0")
+    edges = work.save(links.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).where("u <> v").distinct(), f"{name}-e0", free=False)
     found, r = None, 0
     while not edges.isEmpty():
         near = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).groupBy(F.col("u").alias("id")).agg(F.least(F.col("id"), F.min("v")).alias("root"))
-        near, jump = work.save(near, f"{name}-p{r}.0"), 0
+        near, jump = work.save(near, f"{name}-p{r}.0", free=False), 0
         while True:
             up = near.select(F.col("id").alias("root"), F.col("root").alias("top"))
             if near.join(up, "root").where("top <> root").isEmpty():
                 break
             jump += 1
-            near = work.save(near.join(up, "root").select("id", F.col("top").alias("root")), f"{name}-p{r}.{jump}")
+            near = work.save(near.join(up, "root").select("id", F.col("top").alias("root")), f"{name}-p{r}.{jump}", free=False)
         if found is None:
             found = near
         else:
             moved = near.select(F.col("id").alias("root"), F.col("root").alias("top"))
-            found = work.save(found.join(moved, "root", "left").select("id", F.coalesce("top", "root").alias("root")), f"{name}-f{r}")
+            found = work.save(found.join(moved, "root", "left").select("id", F.coalesce("top", "root").alias("root")), f"{name}-f{r}", free=False)
         u, v = near.select(F.col("id").alias("u"), F.col("root").alias("ru")), near.select(F.col("id").alias("v"), F.col("root").alias("rv"))
         met = edges.join(u, "u").join(v, "v").where("ru <> rv").select(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).distinct()
         r += 1
-        edges = work.save(met, f"{name}-e{r}")
+        edges = work.save(met, f"{name}-e{r}", free=False)
     if found is None:
         return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
     return found.select("id", F.col("root").alias("component"))
