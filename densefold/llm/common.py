@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -53,9 +54,14 @@ class Scratch:
 
 
 def release(spark: SparkSession) -> None:
-    """Let go of the shuffle files of steps that are written: Spark deletes them once the driver's garbage is collected."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Let go of the shuffle files of steps that are written: Spark deletes them once the driver's garbage is collected.
+
+    Twice, as Python's side lets go of its references only while the first collection runs.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def n_buckets(spark: SparkSession) -> int:

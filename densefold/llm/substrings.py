@@ -236,6 +236,8 @@ def _window_dtype(length: int, span: int) -> np.dtype:
 def _send_windows(length: int, span: int, buckets: int):
     dtype, wide = _window_dtype(length, span), length + span - 1
 
+    place = np.arange(wide, dtype=np.int16)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sender, whole = _Sender(0, squeeze=True), _Sender(1)
         for by, batch in _records_then_texts(batches, PLACE):
@@ -251,11 +253,15 @@ def _send_windows(length: int, span: int, buckets: int):
                 at, h, first, last = anchor_runs(b, length, span)
                 chosen = np.isin(at, mine["pos"])
                 at, h, first, last = at[chosen], h[chosen], first[chosen], last[chosen]
+                if not len(at):
+                    continue
                 padded = np.concatenate([np.zeros(span, np.uint8), np.frombuffer(b, np.uint8), np.zeros(wide, np.uint8)])
                 rows = np.empty(len(at), dtype)
                 rows["hash"], rows["pos"], rows["doc"], rows["lo"], rows["hi"] = h >> np.uint64(32), at, doc, at - last, at - first
-                # From span - 1 bytes left of the anchor to span - 1 bytes right of it.
-                rows["bytes"] = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, wide)[at + 1]).view(f"V{wide}").ravel() if len(at) else rows["bytes"]
+                # From span - 1 bytes left of the anchor to as many past the last window; bytes that none of its windows covers are blanked.
+                around = np.lib.stride_tricks.sliding_window_view(padded, wide)[at + 1]
+                covers = (place >= (span - 1 - rows["hi"])[:, None]) & (place < (span - 1 - rows["lo"] + length)[:, None])
+                rows["bytes"] = np.ascontiguousarray(around * covers).view(f"V{wide}").ravel()
                 sender.add(rows, _anchor_bucket(h, buckets))
             yield from sender.out(HELD * 100)
         yield from sender.out()
