@@ -42,6 +42,8 @@ FILTER_BITS = 24
 ENTRY = np.dtype([("token", "<u8"), ("doc", "<i8"), ("n", "<i4"), ("pos", "<i4")])
 LINK = np.dtype([("a", "<i8"), ("b", "<i8")])
 RANKS = (1, 8, 64, 512)
+#: Tokens, entries or pairs that a task holds before it sums them up or sends them.
+HELD = 300_000
 
 
 def shingles(text: str | None, words: int) -> np.ndarray:
@@ -86,12 +88,26 @@ def _count(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, np.uint32)
         schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("slice", pa.int32()), ("blob", pa.binary())])  # of a document or of a slice
+
+        def count(sets: list[np.ndarray]) -> None:
+            total[:] += np.bincount(_counter_of(np.concatenate(sets)), minlength=COUNTERS).astype(np.uint32)
+
         for batch in batches:
-            sets = [(i, shingles(t, words)) for i, t in texts(batch)]
-            if sets:
-                total += np.bincount(_counter_of(np.concatenate([s for _, s in sets])), minlength=COUNTERS).astype(np.uint32)
-                n = len(sets)
-                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in sets], pa.int64()), pa.array([len(s) for _, s in sets], pa.int64()), pa.nulls(n, pa.int32()), pa.array([signature(s) for _, s in sets], pa.binary())], schema=schema)
+            sizes, signs, held, n_held = [], [], [], 0
+            for _, text in texts(batch):
+                tokens = shingles(text, words)
+                sizes.append(len(tokens))
+                signs.append(signature(tokens))
+                held.append(tokens)
+                n_held += len(tokens)
+                if n_held > HELD:
+                    count(held)
+                    held, n_held = [], 0
+            if held:
+                count(held)
+            if sizes:
+                n = len(sizes)
+                yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(sizes, pa.int64()), pa.nulls(n, pa.int32()), pa.array(signs, pa.binary())], schema=schema)
         if total.any():
             parts = np.minimum(total, 65535).astype("<u2").reshape(SLICES, -1)
             yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.array(range(SLICES), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], schema=schema)
@@ -153,9 +169,9 @@ def _index(words: int, num: int, den: int, buckets: int, kinds):
                 rows["token"], rows["doc"], rows["n"], rows["pos"] = prefix, doc, len(tokens), np.arange(len(prefix))
                 held.append(rows)
                 n_held += len(rows)
-            if n_held > 300_000:
-                yield from out()
-                held, same, n_held = [], [], 0
+                if n_held > HELD:
+                    yield from out()
+                    held, same, n_held = [], [], 0
         yield from out()
 
     return run
@@ -200,24 +216,29 @@ def _lists(num: int, den: int, block: int):
             return
         start = np.flatnonzero(np.r_[True, e["token"][1:] != e["token"][:-1]])
         length = np.diff(np.r_[start, len(e)])
-        pairs = []
+        docs, mine = np.unique(e["doc"], return_inverse=True)
+        found = [np.zeros(0, np.int64)]
+
+        def add(x: np.ndarray, y: np.ndarray) -> None:
+            """Pairs of entries, as one number each; repeats go now and then."""
+            ok = _admits(e["n"][x], e["n"][y], e["pos"][x], e["pos"][y], num, den)
+            a, b = mine[x[ok]], mine[y[ok]]
+            found.append(np.minimum(a, b) * len(docs) + np.maximum(a, b))
+            if sum(map(len, found[1:])) > HELD:
+                found[:] = [np.unique(np.concatenate(found))]
+
         for size in np.unique(length[length <= block]).tolist():
             at = start[length == size]
-            for part in np.array_split(at, max(1, len(at) * size * size // 2_000_000)):
-                i, j = np.triu_indices(size, 1)
-                x, y = (part[:, None] + i).ravel(), (part[:, None] + j).ravel()
-                ok = _admits(e["n"][x], e["n"][y], e["pos"][x], e["pos"][y], num, den)
-                pairs.append(np.stack([e["doc"][x[ok]], e["doc"][y[ok]]], 1))
+            i, j = np.triu_indices(size, 1)
+            for part in np.array_split(at, max(1, len(at) * len(i) // HELD)):
+                add((part[:, None] + i).ravel(), (part[:, None] + j).ravel())
         for s, k in zip(start[length > block].tolist(), length[length > block].tolist(), strict=True):
             one = e[s : s + k]
             yield _rows(2, token=one["token"].astype(np.int64), rank=np.arange(k), doc=one["doc"], n=one["n"], pos=one["pos"], lead=np.full(k, one["doc"][0]))
-            ok = _admits(one["n"][:1], one["n"][1:], one["pos"][:1], one["pos"][1:], num, den)
-            pairs.append(np.stack([one["doc"][1:][ok], np.full(int(ok.sum()), one["doc"][0])], 1))
-        if pairs:
-            two = np.concatenate(pairs)
-            two = np.unique(np.sort(two, axis=1), axis=0)
-            for k in range(0, len(two), 100_000):
-                yield _rows(1, doc=two[k : k + 100_000, 1], lead=two[k : k + 100_000, 0])
+            add(np.full(k - 1, s), np.arange(s + 1, s + k))
+        pairs = np.unique(np.concatenate(found))
+        for k in range(0, len(pairs), HELD):
+            yield _rows(1, doc=docs[pairs[k : k + HELD] % len(docs)], lead=docs[pairs[k : k + HELD] // len(docs)])
 
     return run
 
