@@ -5,8 +5,9 @@ Method: set-relation skipping over inverted lists.
 * Index. A set's prefix (as many of its tokens, in one global order, as two similar sets must meet in) is
   dealt by token. Rare tokens come first: a counting table of fixed size over all tokens of all documents
   tells the frequent ones, which go last. Any total order gives the same links, so collisions in it cost
-  work only. A list holds its sets by size and id; runs of sets that no size or position lets through are skipped.
-* Lists of at most ``block`` sets give all pairs that size and position admit.
+  work only. A list holds its sets by size and id, with the position at which each holds the token.
+* Lists of at most ``block`` sets give all pairs that size and position admit. Longer ones are cut into blocks of so many; a set skips the
+  blocks whose sizes or positions leave no room for the similarity, and those that lie in its own component as a whole.
 * Longer lists start with their first set alone (rank 0). What was computed for it then serves its like:
   sets that are in one component already need no comparison; and with |x∩l| and |y∩l| known, |x∩y| lies between
   |x∩l| + |y∩l| - |l| and min(|x∩l| + |y\\l|, |y∩l| + |x\\l|), which often settles a pair. What is left goes on in
@@ -372,13 +373,21 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, words: int = 5, num
         sets_of = long.join(known, "doc", "left").join(answers, ["doc", "lead"], "left").withColumn("component", F.coalesce("component", "doc"))
         sets_of = work.save(sets_of.select("token", "rank", "doc", "n", "pos", "component", "both", "n_lead"), f"sets{r}")
         led = sets_of.where((F.col("rank") >= low) & (F.col("rank") < high))
-        x, y = sets_of.alias("x"), led.alias("y")
+        # Blocks of each list that a set can skip: too small or large, too far on in their sets, or all in its own component.
+        part = F.expr(f"rank div {block}").alias("part")
+        blocks = sets_of.groupBy("token", part).agg(
+            F.max("rank").alias("r1"), F.min("n").alias("n0"), F.max("n").alias("n1"), F.max(F.col("n") - F.col("pos")).alias("left"), F.min("component").alias("c0"), F.max("component").alias("c1")
+        )
+        meets = (F.col("r1") > F.col("rank")) & (den * F.col("n") >= num * F.col("n0")) & (den * F.col("n1") >= num * F.col("n")) & ~((F.col("c0") == F.col("component")) & (F.col("c1") == F.col("component")))
+        meets = meets & (F.least("left", F.col("n") - F.col("pos")) >= F.ceil((num * (F.col("n0") + F.col("n"))) / (num + den) - F.lit(1e-9)))
+        led = led.join(blocks, "token").where(meets).drop("r1", "n0", "n1", "left", "c0", "c1")
+        x, y = sets_of.withColumn("part", part).alias("x"), led.alias("y")
         c = lambda s: F.col(s)
         need = F.ceil((num * (c("x.n") + c("y.n"))) / (num + den) - F.lit(1e-9))
         most = F.least(c("x.both") + c("y.n") - c("y.both"), c("y.both") + c("x.n") - c("x.both"))
         met = x.join(
             y,
-            (c("x.token") == c("y.token")) & (c("x.rank") > c("y.rank")) & (c("x.component") != c("y.component"))
+            (c("x.token") == c("y.token")) & (c("x.part") == c("y.part")) & (c("x.rank") > c("y.rank")) & (c("x.component") != c("y.component"))
             & (den * F.least("x.n", "y.n") >= num * F.greatest("x.n", "y.n"))
             & (F.least(c("x.n") - c("x.pos"), c("y.n") - c("y.pos")) >= need)
             & F.coalesce(most >= need, F.lit(True)),
