@@ -286,7 +286,7 @@ def _only(bits):
     return run
 
 
-def _possible(num: int, den: int):
+def _possible(num: int, den: int, also: list[str] = ()):
     """Pairs whose signatures leave room for the similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,7 +294,7 @@ def _possible(num: int, den: int):
             total = column(batch, "na").to_numpy() + column(batch, "nb").to_numpy()
             room = total - 2 * -(-num * total // (num + den))
             apart = np.fromiter(map(differing, column(batch, "xa").to_pylist(), column(batch, "xb").to_pylist()), np.int64, batch.num_rows)
-            yield batch.filter(pa.array(apart <= room)).select(["a", "b"])
+            yield batch.filter(pa.array(apart <= room)).select(["a", "b", *also])
 
     return run
 
@@ -362,42 +362,70 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, words: int = 5, num
 
     first = verified(pairs, "verified0")
     links = links.unionByName(first.where("linked").select("a", "b"))
+    known = components(work, links, "round0")
     top = long.agg(F.max("rank")).first()[0] or 0
+    if top >= RANKS[0]:
+        # What was computed for the first set of a list, for each of its other sets; and all signatures.
+        answers = first.select(F.col("b").alias("doc"), F.col("a").alias("lead"), "both", F.col("na").alias("n_lead")).unionByName(first.select(F.col("a").alias("doc"), F.col("b").alias("lead"), "both", F.col("nb").alias("n_lead")))
+        with_answers = long.join(answers, ["doc", "lead"], "left").join(signs.select(F.col("id").alias("doc"), "x").distinct().hint("merge"), "doc")
+        long = work.save(with_answers.select("token", "rank", "doc", "n", "pos", "both", "n_lead", "x"), "long")
     for r, low in enumerate(RANKS):
         if top < low:
             break
         high = RANKS[r + 1] if r + 1 < len(RANKS) else top + 1
-        known = components(work, links, f"round{r}").select(F.col("id").alias("doc"), "component")
-        # What was computed for the first set of a list, for each of its other sets.
-        answers = first.select(F.col("b").alias("doc"), F.col("a").alias("lead"), "both", F.col("na").alias("n_lead")).unionByName(first.select(F.col("a").alias("doc"), F.col("b").alias("lead"), "both", F.col("nb").alias("n_lead")))
-        sets_of = long.join(known, "doc", "left").join(answers, ["doc", "lead"], "left").withColumn("component", F.coalesce("component", "doc"))
-        sets_of = work.save(sets_of.select("token", "rank", "doc", "n", "pos", "component", "both", "n_lead"), f"sets{r}")
-        led = sets_of.where((F.col("rank") >= low) & (F.col("rank") < high))
-        # Blocks of each list that a set can skip: too small or large, too far on in their sets, or all in its own component.
-        part = F.expr(f"rank div {block}").alias("part")
-        blocks = sets_of.groupBy("token", part).agg(
-            F.max("rank").alias("r1"), F.min("n").alias("n0"), F.max("n").alias("n1"), F.max(F.col("n") - F.col("pos")).alias("left"), F.min("component").alias("c0"), F.max("component").alias("c1")
-        )
-        meets = (F.col("r1") > F.col("rank")) & (den * F.col("n") >= num * F.col("n0")) & (den * F.col("n1") >= num * F.col("n")) & ~((F.col("c0") == F.col("component")) & (F.col("c1") == F.col("component")))
-        meets = meets & (F.least("left", F.col("n") - F.col("pos")) >= F.ceil((num * (F.col("n0") + F.col("n"))) / (num + den) - F.lit(1e-9)))
-        led = led.join(blocks, "token").where(meets).drop("r1", "n0", "n1", "left", "c0", "c1")
-        x, y = sets_of.withColumn("part", part).alias("x"), led.alias("y")
-        c = lambda s: F.col(s)
-        need = F.ceil((num * (c("x.n") + c("y.n"))) / (num + den) - F.lit(1e-9))
-        most = F.least(c("x.both") + c("y.n") - c("y.both"), c("y.both") + c("x.n") - c("x.both"))
-        met = x.join(
-            y,
-            (c("x.token") == c("y.token")) & (c("x.part") == c("y.part")) & (c("x.rank") > c("y.rank")) & (c("x.component") != c("y.component"))
-            & (den * F.least("x.n", "y.n") >= num * F.greatest("x.n", "y.n"))
-            & (F.least(c("x.n") - c("x.pos"), c("y.n") - c("y.pos")) >= need)
-            & F.coalesce(most >= need, F.lit(True)),
-        )
-        sure = F.coalesce(c("x.both") + c("y.both") - c("x.n_lead") >= need, F.lit(False))
-        met = work.save(met.select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b"), sure.alias("sure")).distinct(), f"met{r}")
-        checked = verified(possible(met.where("NOT sure").select("a", "b"), f"possible{r}"), f"verified{r + 1}")
-        links = links.unionByName(met.where("sure").select("a", "b")).unionByName(checked.where("linked").select("a", "b"))
-    label = components(work, links, "last").select(F.col("id").alias("doc_id"), "component")
-    return sizes.join(label, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+        label = known.select(F.col("id").alias("doc"), "component")
+        entries = work.save(long.join(label, "doc", "left").withColumn("component", F.coalesce("component", "doc")), f"entries{r}", free=False)
+        if entries.groupBy("token").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").isEmpty():
+            break  # every list lies in one component
+        new = work.save(_met(entries, low, high, num, den, block).distinct(), f"met{r}", free=False)
+        if new.isEmpty():
+            continue
+        checked = verified(new.where("NOT sure").select("a", "b"), f"verified{r + 1}")
+        known = _joined(work, known, new.where("sure").select("a", "b").unionByName(checked.where("linked").select("a", "b")), f"round{r + 1}")
+    return sizes.join(known.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def _met(entries: DataFrame, low: int, high: int, num: int, den: int, block: int) -> DataFrame:
+    """(a, b, sure): pairs of a set of these ranks and one of a higher rank in its list that may link and lie in different components.
+
+    ``sure`` pairs link by the answers of the list's first set alone.
+    """
+    led = entries.where((F.col("rank") >= low) & (F.col("rank") < high))
+    # Blocks of each list that a set can skip: too small or large, too far on in their sets, or all in its own component.
+    part = F.expr(f"rank div {block}").alias("part")
+    blocks = entries.groupBy("token", part).agg(
+        F.max("rank").alias("r1"), F.min("n").alias("n0"), F.max("n").alias("n1"), F.max(F.col("n") - F.col("pos")).alias("left"), F.min("component").alias("c0"), F.max("component").alias("c1")
+    )
+    meets = (F.col("r1") > F.col("rank")) & (den * F.col("n") >= num * F.col("n0")) & (den * F.col("n1") >= num * F.col("n")) & ~((F.col("c0") == F.col("component")) & (F.col("c1") == F.col("component")))
+    meets = meets & (F.least("left", F.col("n") - F.col("pos")) >= F.ceil((num * (F.col("n0") + F.col("n"))) / (num + den) - F.lit(1e-9)))
+    led = led.join(blocks, "token").where(meets).drop("r1", "n0", "n1", "left", "c0", "c1")
+    x, y, c = entries.withColumn("part", part).alias("x"), led.alias("y"), F.col
+    need = F.ceil((num * (c("x.n") + c("y.n"))) / (num + den) - F.lit(1e-9))
+    most = F.least(c("x.both") + c("y.n") - c("y.both"), c("y.both") + c("x.n") - c("x.both"))
+    met = x.join(
+        y,
+        (c("x.token") == c("y.token")) & (c("x.part") == c("y.part")) & (c("x.rank") > c("y.rank")) & (c("x.component") != c("y.component"))
+        & (den * F.least("x.n", "y.n") >= num * F.greatest("x.n", "y.n"))
+        & (F.least(c("x.n") - c("x.pos"), c("y.n") - c("y.pos")) >= need)
+        & F.coalesce(most >= need, F.lit(True)),
+    )
+    sure = F.coalesce(c("x.both") + c("y.both") - c("x.n_lead") >= need, F.lit(False)).alias("sure")
+    pair = met.select(c("x.doc").alias("a"), c("y.doc").alias("b"), sure, c("x.n").cast("bigint").alias("na"), c("y.n").cast("bigint").alias("nb"), c("x.x").alias("xa"), c("y.x").alias("xb"))
+    left = pair.mapInArrow(_possible(num, den, also=["sure"]), "a long, b long, sure boolean")
+    return left.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sure")
+
+
+def _joined(work: Scratch, known: DataFrame, links: DataFrame, name: str) -> DataFrame:
+    """(id, component) after more links."""
+    links = work.save(links, f"{name}-links", free=False)
+    if links.isEmpty():
+        return known
+    a, b = known.select(F.col("id").alias("a"), F.col("component").alias("ca")), known.select(F.col("id").alias("b"), F.col("component").alias("cb"))
+    between = links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    moved = components(work, between, name).select(F.col("id").alias("component"), F.col("component").alias("top"))
+    old = known.join(moved, "component", "left").select("id", F.coalesce("top", "component").alias("component"))
+    new = moved.join(known, moved["component"] == known["id"], "left_anti").select(F.col("component").alias("id"), F.col("top").alias("component"))
+    return work.save(old.unionByName(new), f"{name}-known", free=False)
 
 
 def keep_first(spark: SparkSession, docs: DataFrame, words: int = 5, num: int = 8, den: int = 10) -> DataFrame:
