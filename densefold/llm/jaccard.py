@@ -5,7 +5,8 @@ Method: set-relation skipping over inverted lists.
 * Index. A set's prefix (as many of its tokens, in one global order, as two similar sets must meet in) is
   dealt by token. Rare tokens come first: a counting table of fixed size over all tokens of all documents
   tells the frequent ones, which go last. Any total order gives the same links, so collisions in it cost
-  work only. A list holds its sets by size and id, with the position at which each holds the token.
+  work only. A list holds its sets by size and id, with the position at which each holds the token and the token before it: two sets whose
+  token before is the same met in that one's list already, so of each run of tokens that they share only the first list considers them.
 * Lists of at most ``block`` sets give all pairs that size and position admit. Longer ones are cut into blocks of so many; a set skips the
   blocks whose sizes or positions leave no room for the similarity, and those that lie in its own component as a whole.
 * Longer lists start with their first set alone (rank 0). What was computed for it then serves its like:
@@ -40,7 +41,7 @@ COUNTERS = 1 << 21
 SLICES = 16
 #: Bits of the filter over candidate ids (2 MB broadcast). Past some millions of candidates it lets more texts be parsed than needed; results don't change.
 FILTER_BITS = 24
-ENTRY = np.dtype([("token", "<u8"), ("doc", "<i8"), ("n", "<i4"), ("pos", "<i4")])
+ENTRY = np.dtype([("token", "<u8"), ("prev", "<u8"), ("doc", "<i8"), ("n", "<i4"), ("pos", "<i4")])
 LINK = np.dtype([("a", "<i8"), ("b", "<i8")])
 RANKS = (1, 8, 64, 512)
 #: Tokens, entries or pairs that a task holds before it sums them up or sends them.
@@ -168,6 +169,7 @@ def _index(words: int, num: int, den: int, buckets: int, kinds):
                 prefix = _prefix(tokens, kinds.value, num, den)
                 rows = np.empty(len(prefix), ENTRY)
                 rows["token"], rows["doc"], rows["n"], rows["pos"] = prefix, doc, len(tokens), np.arange(len(prefix))
+                rows["prev"][:1], rows["prev"][1:] = 0, prefix[:-1]
                 held.append(rows)
                 n_held += len(rows)
                 if n_held > HELD:
@@ -178,12 +180,12 @@ def _index(words: int, num: int, den: int, buckets: int, kinds):
     return run
 
 
-LISTS = "kind int, token long, rank int, doc long, n int, pos int, lead long"
+LISTS = "kind int, token long, prev long, rank int, doc long, n int, pos int, lead long"
 
 
 def _rows(kind: int, **cols) -> pa.RecordBatch:
     n = len(cols["doc"])
-    types = {"token": pa.int64(), "rank": pa.int32(), "doc": pa.int64(), "n": pa.int32(), "pos": pa.int32(), "lead": pa.int64()}
+    types = {"token": pa.int64(), "prev": pa.int64(), "rank": pa.int32(), "doc": pa.int64(), "n": pa.int32(), "pos": pa.int32(), "lead": pa.int64()}
     return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *(pa.array(np.asarray(cols[c]), t) if c in cols else pa.nulls(n, t) for c, t in types.items())], ["kind", *types])
 
 
@@ -222,7 +224,8 @@ def _lists(num: int, den: int, block: int):
 
         def add(x: np.ndarray, y: np.ndarray) -> None:
             """Pairs of entries, as one number each; repeats go now and then."""
-            ok = _admits(e["n"][x], e["n"][y], e["pos"][x], e["pos"][y], num, den)
+            before = (e["prev"][x] == e["prev"][y]) & (e["pos"][x] > 0) & (e["pos"][y] > 0)
+            ok = ~before & _admits(e["n"][x], e["n"][y], e["pos"][x], e["pos"][y], num, den)
             a, b = mine[x[ok]], mine[y[ok]]
             found.append(np.minimum(a, b) * len(docs) + np.maximum(a, b))
             if sum(map(len, found[1:])) > HELD:
@@ -235,7 +238,7 @@ def _lists(num: int, den: int, block: int):
                 add((part[:, None] + i).ravel(), (part[:, None] + j).ravel())
         for s, k in zip(start[length > block].tolist(), length[length > block].tolist(), strict=True):
             one = e[s : s + k]
-            yield _rows(2, token=one["token"].astype(np.int64), rank=np.arange(k), doc=one["doc"], n=one["n"], pos=one["pos"], lead=np.full(k, one["doc"][0]))
+            yield _rows(2, token=one["token"].astype(np.int64), prev=one["prev"].astype(np.int64), rank=np.arange(k), doc=one["doc"], n=one["n"], pos=one["pos"], lead=np.full(k, one["doc"][0]))
             add(np.full(k - 1, s), np.arange(s + 1, s + k))
         pairs = np.unique(np.concatenate(found))
         for k in range(0, len(pairs), HELD):
@@ -368,7 +371,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, words: int = 5, num
         # What was computed for the first set of a list, for each of its other sets; and all signatures.
         answers = first.select(F.col("b").alias("doc"), F.col("a").alias("lead"), "both", F.col("na").alias("n_lead")).unionByName(first.select(F.col("a").alias("doc"), F.col("b").alias("lead"), "both", F.col("nb").alias("n_lead")))
         with_answers = long.join(answers, ["doc", "lead"], "left").join(signs.select(F.col("id").alias("doc"), "x").distinct().hint("merge"), "doc")
-        long = work.save(with_answers.select("token", "rank", "doc", "n", "pos", "both", "n_lead", "x"), "long")
+        long = work.save(with_answers.select("token", "prev", "rank", "doc", "n", "pos", "both", "n_lead", "x"), "long")
     for r, low in enumerate(RANKS):
         if top < low:
             break
@@ -406,6 +409,7 @@ def _met(entries: DataFrame, low: int, high: int, num: int, den: int, block: int
         y,
         (c("x.token") == c("y.token")) & (c("x.part") == c("y.part")) & (c("x.rank") > c("y.rank")) & (c("x.component") != c("y.component"))
         & (den * F.least("x.n", "y.n") >= num * F.greatest("x.n", "y.n"))
+        & ((c("x.prev") != c("y.prev")) | (c("x.pos") == 0) | (c("y.pos") == 0))
         & (F.least(c("x.n") - c("x.pos"), c("y.n") - c("y.pos")) >= need)
         & F.coalesce(most >= need, F.lit(True)),
     )
