@@ -7,7 +7,8 @@ Method: set-relation skipping over inverted lists.
   tells the frequent ones, which go last. Any total order gives the same links, so collisions in it cost
   work only. A list holds its sets by size and id, with the position at which each holds the token and the token before it: two sets whose
   token before is the same met in that one's list already, so of each run of tokens that they share only the first list considers them.
-* Lists of at most ``block`` sets give all pairs that size and position admit. Longer ones are cut into blocks of so many; a set skips the
+* Lists of at most ``block`` sets give all pairs that size and position admit; those with the list's first set are looked at before the others,
+  of which pairs that are in one component by then need no comparison. Longer ones are cut into blocks of so many; a set skips the
   blocks whose sizes or positions leave no room for the similarity, and those that lie in its own component as a whole.
 * Longer lists start with their first set alone (rank 0). What was computed for it then serves its like:
   sets that are in one component already need no comparison; and with |x∩l| and |y∩l| known, |x∩y| lies between
@@ -197,7 +198,7 @@ def _admits(na, nb, pa_, pb, num: int, den: int):
 
 
 def _lists(num: int, den: int, block: int):
-    """Candidates (kind 1: doc and lead) of all lists of a partition; entries (kind 2) of long lists; links of equal sets (kind 0)."""
+    """Candidates (doc and lead) of all lists of a partition: with a list's first set (kind 1), and others of short lists (kind 3); entries of long lists (kind 2); links of equal sets (kind 0)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = []
@@ -220,29 +221,31 @@ def _lists(num: int, den: int, block: int):
         start = np.flatnonzero(np.r_[True, e["token"][1:] != e["token"][:-1]])
         length = np.diff(np.r_[start, len(e)])
         docs, mine = np.unique(e["doc"], return_inverse=True)
-        found = [np.zeros(0, np.int64)]
+        found = {1: [np.zeros(0, np.int64)], 3: [np.zeros(0, np.int64)]}
 
-        def add(x: np.ndarray, y: np.ndarray) -> None:
+        def add(kind: int, x: np.ndarray, y: np.ndarray) -> None:
             """Pairs of entries, as one number each; repeats go now and then."""
             before = (e["prev"][x] == e["prev"][y]) & (e["pos"][x] > 0) & (e["pos"][y] > 0)
             ok = ~before & _admits(e["n"][x], e["n"][y], e["pos"][x], e["pos"][y], num, den)
             a, b = mine[x[ok]], mine[y[ok]]
-            found.append(np.minimum(a, b) * len(docs) + np.maximum(a, b))
-            if sum(map(len, found[1:])) > HELD:
-                found[:] = [np.unique(np.concatenate(found))]
+            found[kind].append(np.minimum(a, b) * len(docs) + np.maximum(a, b))
+            if sum(map(len, found[kind][1:])) > HELD:
+                found[kind][:] = [np.unique(np.concatenate(found[kind]))]
 
         for size in np.unique(length[length <= block]).tolist():
             at = start[length == size]
             i, j = np.triu_indices(size, 1)
             for part in np.array_split(at, max(1, len(at) * len(i) // HELD)):
-                add((part[:, None] + i).ravel(), (part[:, None] + j).ravel())
+                for kind, with_first in ((1, i == 0), (3, i > 0)):
+                    add(kind, (part[:, None] + i[with_first]).ravel(), (part[:, None] + j[with_first]).ravel())
         for s, k in zip(start[length > block].tolist(), length[length > block].tolist(), strict=True):
             one = e[s : s + k]
             yield _rows(2, token=one["token"].astype(np.int64), prev=one["prev"].astype(np.int64), rank=np.arange(k), doc=one["doc"], n=one["n"], pos=one["pos"], lead=np.full(k, one["doc"][0]))
-            add(np.full(k - 1, s), np.arange(s + 1, s + k))
-        pairs = np.unique(np.concatenate(found))
-        for k in range(0, len(pairs), HELD):
-            yield _rows(1, doc=docs[pairs[k : k + HELD] % len(docs)], lead=docs[pairs[k : k + HELD] // len(docs)])
+            add(1, np.full(k - 1, s), np.arange(s + 1, s + k))
+        for kind, parts in found.items():
+            pairs = np.unique(np.concatenate(parts))
+            for k in range(0, len(pairs), HELD):
+                yield _rows(kind, doc=docs[pairs[k : k + HELD] % len(docs)], lead=docs[pairs[k : k + HELD] // len(docs)])
 
     return run
 
@@ -344,7 +347,10 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, words: int = 5, num
         with_a = with_b.join(signs.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("x").alias("xa")).hint("merge"), "a")
         return work.save(with_a.select("a", "b", "na", "nb", "xa", "xb").mapInArrow(_possible(num, den), "a long, b long"), name)
 
-    pairs = possible(lists.where("kind = 1").select(F.col("lead").alias("a"), F.col("doc").alias("b")).distinct(), "pairs")
+    def candidates(kind: int) -> DataFrame:
+        return lists.where(F.col("kind") == kind).select(F.col("lead").alias("a"), F.col("doc").alias("b")).distinct()
+
+    pairs, others = possible(candidates(1), "pairs"), possible(candidates(3), "others")
     long = lists.where("kind = 2")
 
     def ends(two: DataFrame) -> DataFrame:
@@ -354,7 +360,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, words: int = 5, num
         parts = ids.coalesce(8).mapInArrow(_id_filter, "blob binary").repartition(1)
         return spark.sparkContext.broadcast(np.frombuffer(parts.mapInArrow(_or, "blob binary").first()["blob"], np.uint8))
 
-    sets = work.save(docs.mapInArrow(_sets(words, id_filter(ends(pairs).unionByName(long.select(F.col("doc").alias("id"))))), "id long, tokens binary"), "sets")
+    sets = work.save(docs.mapInArrow(_sets(words, id_filter(ends(pairs).unionByName(ends(others)).unionByName(long.select(F.col("doc").alias("id"))))), "id long, tokens binary"), "sets")
 
     def verified(two: DataFrame, name: str) -> DataFrame:
         needed = sets.mapInArrow(_only(id_filter(ends(two))), "id long, tokens binary")
@@ -366,6 +372,12 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, words: int = 5, num
     first = verified(pairs, "verified0")
     links = links.unionByName(first.where("linked").select("a", "b"))
     known = components(work, links, "round0")
+    # Of the other pairs only those that lie in different components by now.
+    a, b = known.select(F.col("id").alias("a"), F.col("component").alias("ca")), known.select(F.col("id").alias("b"), F.col("component").alias("cb"))
+    apart = others.join(a, "a", "left").join(b, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    apart = work.save(apart.join(first.select("a", "b"), ["a", "b"], "left_anti"), "apart", free=False)
+    if not apart.isEmpty():
+        known = _joined(work, known, verified(apart, "verified_apart").where("linked").select("a", "b"), "round_apart")
     top = long.agg(F.max("rank")).first()[0] or 0
     if top >= RANKS[0]:
         # What was computed for the first set of a list, for each of its other sets; and all signatures.
