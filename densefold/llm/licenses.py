@@ -1,7 +1,10 @@
 """Licence scan by sentences.
 
 Method: sentence-rule recognition. A text is cut into sentences, each is normalised (lower case, words only, years, version dots kept inside
-words), and those that the table of licence sentences knows become sentence ids; variants of a sentence share an id. The ids of a text, in
+words), and those that the table of licence sentences knows become sentence ids; variants of a sentence share an id. Cuts are where a
+sentence may end (marks of punctuation, empty lines, lines that begin with a capital, a list or a comment mark), so a known sentence may run over
+some of them, as one that is wrapped, commented or holds a colon does: at each cut the longest run of pieces that is a known sentence is
+taken, and counts as one sentence. The ids of a text, in
 order, are matched against ordered rules: a rule names a licence by the ids that must follow each other (ids of no rule
 between them don't matter). Rules are tried longest first at each place, and what a match used is not used again. Known sentences that no rule takes are
 reported as leftovers.
@@ -34,6 +37,7 @@ SENTENCES = {
     "licensed under the apache license version 2.0 the license": "ApacheRef",
     "you may not use this file except in compliance with the license": "ApacheCompliance",
     "you may obtain a copy of the license at http www.apache.org licenses license 2.0": "ApacheCopyAt",
+    "you may obtain a copy of the license at https www.apache.org licenses license 2.0": "ApacheCopyAt",
     "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied": "ApacheAsIs",
     "see the license for the specific language governing permissions and limitations under the license": "ApacheSee",
     "this work is licensed under the gnu general public license version 3": "GPL3Ref",
@@ -50,6 +54,7 @@ SENTENCES = {
     "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "BSDEndorse",
     "this source code form is subject to the terms of the mozilla public license v 2.0": "MPL2Subject",
     "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla.org mpl 2.0": "MPL2Copy",
+    "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla.org mpl 2.0": "MPL2Copy",
     "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "ISCPermission",
     "this is free and unencumbered software released into the public domain": "Unlicense",
     "licensed under cc by nc 4.0": "CCBYNC4Ref",
@@ -86,10 +91,12 @@ RULES = [
 ]
 # Licence names in "SPDX-License-Identifier:" lines are taken as they stand.
 _SPDX = re.compile(r"SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+-]+(?:[ \t]+(?:AND|OR|WITH)[ \t]+[A-Za-z0-9.+-]+)*)")
-_ENDS = re.compile(r"[.;:!?]+(?=\s|\Z)|\n[ \t]*\n|\n(?=[ \t]*(?:[*\-]|\d+\.|[A-Z]))")
+_ENDS = re.compile(r"[.;:!?]+(?=\s|\Z)|\n[ \t]*\n|\n(?=[ \t]*(?:[*\-]|(?:(?:#+|//+!?|/\*+!?|;+|%+|!+|>+|\|+|<!--|\(\*)[ \t]*)?(?:\d+\.|[A-Z])|(?:#+|//+!?|;+|%+|!+|>+|\|+)[ \t]*(?:\n|\Z)))")
 _WORDS = re.compile(r"[a-z0-9]+(?:\.[a-z0-9]+)*")
 LONGEST = max(map(len, SENTENCES))
 _FIRST = frozenset(s.split(" ", 1)[0] for s in SENTENCES)
+#: What known sentences begin with, word by word, up to the whole.
+_STARTS = frozenset(" ".join(w[: k + 1]) for w in (s.split(" ") for s in SENTENCES) for k in range(len(w)))
 _ORDERED = sorted(RULES, key=lambda r: -len(r[0]))
 
 
@@ -97,20 +104,39 @@ def normalise(sentence: str) -> str:
     return " ".join(_WORDS.findall(sentence.lower()))
 
 
+def _known(pieces: list[str], i: int) -> tuple[str | None, int]:
+    """Id of the longest known sentence that begins with piece i, and the piece behind it."""
+    found, end, said = None, i + 1, ""
+    for j in range(i, len(pieces)):
+        s = pieces[j]
+        if len(s) > 4 * LONGEST:  # longer than any known sentence with all its markup; nothing is looked up, it still counts
+            break
+        if j == i:
+            first = _WORDS.search(s.lower())
+            if not first or first[0] not in _FIRST:
+                break
+        more = normalise(s)
+        if not more:
+            if any(map(str.isalnum, s)):
+                break
+            continue  # comment marks only
+        said = f"{said} {more}" if said else more
+        if said not in _STARTS:
+            break
+        if said in SENTENCES:
+            found, end = SENTENCES[said], j + 1
+    return found, end
+
+
 def sentence_ids(text: str | None) -> tuple[int, list[str]]:
     """Number of sentences, and ids of the known ones in order."""
-    n, ids = 0, []
-    for s in _ENDS.split(text or ""):
-        if not s or s.isspace():
-            continue
+    pieces = [s for s in _ENDS.split(text or "") if s and not s.isspace()]
+    n, ids, i = 0, [], 0
+    while i < len(pieces):
         n += 1
-        if len(s) > 4 * LONGEST:  # longer than any known sentence with all its markup; nothing is looked up, it still counts
-            continue
-        found = _WORDS.search(s.lower())
-        if found and found[0] in _FIRST:
-            known = SENTENCES.get(normalise(s))
-            if known:
-                ids.append(known)
+        known, i = _known(pieces, i)
+        if known:
+            ids.append(known)
     return n, ids
 
 

@@ -1,3 +1,6 @@
+import textwrap
+
+import pytest
 from helpers import as_rows, documents
 
 from densefold.llm import licenses
@@ -37,3 +40,71 @@ def test_tables_agree():
     ids = set(licenses.SENTENCES.values())
     assert all(i in ids for rule, _ in licenses.RULES for i in rule)
     assert all(licenses.normalise(s) == s for s in licenses.SENTENCES)
+
+
+GPL_REST = """This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License along with this program"""
+BSD_2 = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+#: Each rule's notice: licence, ids, words.
+NOTICES = [
+    ("MIT", "MITPermission,MITNotice,MITAsIs,MITLiability", MIT + " IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("MIT", "MITPermission,MITNotice,MITAsIs", MIT),
+    ("MIT", "MITPermission,MITNotice", MIT[: MIT.index("THE SOFTWARE IS")]),
+    ("Apache-2.0", "ApacheRef,ApacheCompliance,ApacheCopyAt,ApacheAsIs,ApacheSee", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""),
+    ("GPL-3.0-or-later", "GPL3OrLater,GPLNoWarranty,GPLSee,GPLReceived", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.\n\n" + GPL_REST + ".  If not, see <https://www.gnu.org/licenses/>."),
+    ("GPL-2.0-or-later", "GPL2OrLater,GPLNoWarranty,GPLSee,GPLReceived", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.\n\n" + GPL_REST + "; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA."),
+    ("GPL-3.0-or-later", "GPL3OrLater", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("GPL-2.0-or-later", "GPL2OrLater", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("LGPL-2.1-or-later", "LGPL21OrLater", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("BSD-3-Clause", "BSDPermission,BSDSource,BSDBinary,BSDEndorse", BSD_2 + "\n\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("BSD-2-Clause", "BSDPermission,BSDSource,BSDBinary", BSD_2),
+    ("MPL-2.0", "MPL2Subject,MPL2Copy", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("MPL-2.0", "MPL2Subject", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("MIT", "MITRef", "This project is licensed under the MIT License."),
+    ("Apache-2.0", "ApacheRef", "Licensed under the Apache License, Version 2.0."),
+    ("GPL-3.0-only", "GPL3Ref", "This work is licensed under the GNU General Public License, version 3."),
+    ("GPL-2.0-only", "GPL2Ref", "Licensed under the GNU General Public License, version 2."),
+    ("ISC", "ISCPermission", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("Unlicense", "Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("CC-BY-NC-4.0", "CCBYNC4Ref", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("CC-BY-4.0", "CCBY4Ref", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("CC-BY-SA-4.0", "CCBYSA4Ref", "Licensed under CC BY-SA 4.0."),
+    ("LicenseRef-all-rights-reserved", "AllRights", "All rights reserved."),
+]
+
+
+def forms(notice):
+    """The notice as it stands, wrapped, and in comments."""
+    head = "Copyright (C) 2020 Some One\n\n"
+    yield notice
+    for width in (28, 60, 72):
+        lines = (head + "\n\n".join(textwrap.fill(p, width, break_long_words=False, break_on_hyphens=False) for p in notice.split("\n\n"))).split("\n")
+        yield "\n".join(lines)
+        yield "/*\n" + "\n".join(f" * {x}".rstrip() for x in lines) + "\n */\nint x;"
+        for mark in ("#", "//", ";", "%", ">"):
+            yield "\n".join(f"{mark} {x}".rstrip() for x in lines) + "\ncode"
+
+
+@pytest.mark.parametrize("name,ids,notice", NOTICES)
+def test_every_rule_on_its_notice(name, ids, notice):
+    for text in forms(notice):
+        _, got, names, rest = licenses.scan_text(text)
+        assert (names, ",".join(got), rest) == ([name], ids, []), text
+
+
+def test_every_rule_has_a_notice():
+    assert {(tuple(ids.split(",")), name) for name, ids, _ in NOTICES} == set(licenses.RULES)
+
+
+def test_cuts_still_count():
+    assert licenses.sentence_ids("All rights reserved. \u6f22\u5b57. Some text; more.") == (4, ["AllRights"])
+    assert licenses.sentence_ids("This program is free software: it costs nothing. Enjoy.") == (3, [])
