@@ -6,8 +6,9 @@ anchors, and every stretch of unchanged text keeps its own. A fingerprint holds
 the first occurrence of each: a bounded sample that is taken alike from every text, over the whole text.
 
 Likeness of two fingerprints: of the anchors of least hash in both samples together (as many as the smaller sample's reach shows
-fully), the share that both have and that lie on the main diagonal, i.e. whose shift in position is within ``SLACK`` of the median shift.
-That estimates the Jaccard similarity of the anchor sets, less anchors that only match out of place. Two empty
+fully), the share that both have and that follow each other in the same order in both: the longest such chain, whatever the shifts in position
+along it, so text put in or taken out costs its own anchors only. That estimates the Jaccard similarity of the anchor sets, less anchors that
+only match out of place. Two empty
 fingerprints are alike (1.0); an empty and another one are not (0.0).
 
 As a string: 14 hexadecimal digits an anchor, 8 of its hash and 6 of its position (positions past 2^24 - 1 count as that), in order of
@@ -18,6 +19,7 @@ string. Equal texts have equal fingerprints.
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 
 from densefold.llm.common import Scratch, column, id_text, n_buckets, texts
 
-K, S, SIZE, SLACK = 12, 4, 32, 16
+K, S, SIZE = 12, 4, 32
 FAR = (1 << 24) - 1
 DIGITS = 14
 
@@ -95,6 +97,18 @@ def from_text(s: str) -> tuple[np.ndarray, np.ndarray]:
     return np.array([int(x[:8], 16) for x in parts], np.uint64), np.array([int(x[8:], 16) for x in parts], np.int64)
 
 
+def _in_order(p: np.ndarray, q: np.ndarray) -> int:
+    """Most pairs (p, q) of which none goes back in either."""
+    q = q[np.lexsort((q, p))]
+    if (q[1:] >= q[:-1]).all():
+        return len(q)
+    ends: list[int] = []  # least end of a chain of each length
+    for x in q.tolist():
+        k = bisect_right(ends, x)
+        ends[k : k + 1] = [x]
+    return len(ends)
+
+
 def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """0 to 1; symmetric."""
     (ha, pa_), (hb, pb) = a, b
@@ -107,9 +121,7 @@ def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     seen = int((ha <= reach).sum() + (hb <= reach).sum() - shown.sum())
     if not shown.any():
         return 0.0
-    shift = pa_[i[shown]] - pb[j[shown]]
-    middle = np.sort(np.abs(shift - np.median(shift)))
-    return float((middle <= SLACK).sum() / seen)
+    return float(_in_order(pa_[i[shown]], pb[j[shown]]) / seen)
 
 
 COLS = {"doc_id": pa.int64(), "n_chars": pa.int64(), "edited_sha256": pa.binary(), "fingerprint": pa.binary(), "edited_fingerprint": pa.binary(), "near_edited": pa.float64(), "near_next": pa.float64(), "edge": pa.int32(), "text": pa.string()}

@@ -59,6 +59,31 @@ def test_likeness():
     assert all((x == y).all() for x, y in zip(back, f(a), strict=True))
 
 
+def test_text_put_in_or_taken_out_costs_its_own_anchors():
+    rng = random.Random(6)
+    for _ in range(60):
+        a = " ".join(words(rng, 300))
+        more = " ".join(words(rng, 30))[:100]
+        cut = rng.choice([len(a) // 2, rng.randrange(len(a))])
+        b = a[:cut] + more + a[cut:]
+        fa, fb = fp.fingerprint(a), fp.fingerprint(b)
+        assert fp.likeness(fa, fb) == fp.likeness(fb, fa) > 0.75
+        twice = b[:200] + more[::-1] + b[200:]
+        assert fp.likeness(fa, fp.fingerprint(twice)) > 0.65
+
+
+def test_chain_is_the_longest():
+    rng = random.Random(7)
+    for _ in range(200):
+        n = rng.randint(1, 12)
+        pairs = [(rng.randrange(9), rng.randrange(9)) for _ in range(n)]
+        best = {}
+        for k, (p, q) in enumerate(sorted(pairs)):
+            best[k] = 1 + max((best[m] for m, (_, y) in enumerate(sorted(pairs)[:k]) if y <= q), default=0)
+        p, q = np.array(pairs).T
+        assert fp._in_order(p, q) == fp._in_order(q, p) == max(best.values())
+
+
 def test_large_texts_take_the_least_anchors():
     rng = random.Random(4)
     t = " ".join(words(rng, 20000)) + "z" * 5000
