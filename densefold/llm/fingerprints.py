@@ -2,13 +2,12 @@
 
 Method: closed syncmers. Of all runs of K code points those are anchors whose least inner run of S (by hash) lies at one of
 the two edges. Whether a run is an anchor depends on its own code points alone, so an edit elsewhere neither adds nor removes
-anchors, and every stretch of unchanged text keeps its own. A fingerprint holds ``SIZE`` anchors of least hash, with the position of
-the first occurrence of each: a bounded sample that is taken alike from every text, over the whole text.
+anchors, and every stretch of unchanged text keeps its own. A fingerprint holds all anchors of a text (``SIZE`` None; a number would keep
+only so many of least hash), with the position of the first occurrence of each, so it grows with the text: some 2 anchors for 9 code points.
 
-Likeness of two fingerprints: of the anchors of least hash in both samples together (as many as the smaller sample's reach shows
-fully), the share that both have and that follow each other in the same order in both: the longest such chain, whatever the shifts in position
-along it, so text put in or taken out costs its own anchors only. That estimates the Jaccard similarity of the anchor sets, less anchors that
-only match out of place. Two empty
+Likeness of two fingerprints: of the anchors of both together, the share that both have and that follow each other in the same order in
+both: the longest such chain, whatever the shifts in position along it, so text put in or taken out costs its own anchors only. That is the
+Jaccard similarity of the anchor sets, less anchors that only match out of place. Two empty
 fingerprints are alike (1.0); an empty and another one are not (0.0).
 
 As a string: 14 hexadecimal digits an anchor, 8 of its hash and 6 of its position (positions past 2^24 - 1 count as that), in order of
@@ -25,13 +24,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from densefold.llm.common import Scratch, column, id_text, n_buckets, texts
 
-K, S, SIZE = 12, 4, 32
+K, S, SIZE = 12, 4, None
 FAR = (1 << 24) - 1
 DIGITS = 14
 
@@ -71,13 +69,8 @@ def anchors(text: str | None) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fingerprint(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Least distinct hashes and the position of each one's first occurrence."""
+    """Distinct hashes in order and the position of each one's first occurrence."""
     h, p = anchors(text)
-    if len(h) > 8 * SIZE:  # what can't be among the least need not be sorted
-        few = np.partition(h, 4 * SIZE)[4 * SIZE]
-        u, first = np.unique(h[h <= few], return_index=True)
-        if len(u) >= SIZE:
-            return u[:SIZE], np.minimum(p[h <= few][first[:SIZE]], FAR)
     u, first = np.unique(h, return_index=True)
     return u[:SIZE], np.minimum(p[first[:SIZE]], FAR)
 
@@ -114,18 +107,15 @@ def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     (ha, pa_), (hb, pb) = a, b
     if not len(ha) or not len(hb):
         return float(len(ha) == len(hb))
-    # A sample that isn't full shows its whole set; a full one, all up to its greatest hash.
-    reach = min((h[-1] for h in (ha, hb) if len(h) == SIZE), default=np.uint64(0xFFFFFFFF))
     both, i, j = np.intersect1d(ha, hb, assume_unique=True, return_indices=True)
-    shown = both <= reach
-    seen = int((ha <= reach).sum() + (hb <= reach).sum() - shown.sum())
-    if not shown.any():
-        return 0.0
-    return float(_in_order(pa_[i[shown]], pb[j[shown]]) / seen)
+    return _in_order(pa_[i], pb[j]) / (len(ha) + len(hb) - len(both))
 
 
-COLS = {"doc_id": pa.int64(), "n_chars": pa.int64(), "edited_sha256": pa.binary(), "fingerprint": pa.binary(), "edited_fingerprint": pa.binary(), "near_edited": pa.float64(), "near_next": pa.float64(), "edge": pa.int32(), "text": pa.string()}
-SCHEMA = "doc_id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double, edge int, text string"
+COLS = {"doc_id": pa.int64(), "n_chars": pa.int64(), "edited_sha256": pa.binary(), "fingerprint": pa.binary(), "edited_fingerprint": pa.binary(), "near_edited": pa.float64(), "near_next": pa.float64()}
+SCHEMA = "doc_id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
+DEALT = "bucket int, doc_id long, text string"
+#: Bytes of fingerprints that a task holds before it hands them on.
+HELD = 16 << 20
 
 
 def edited(text: str, following: str) -> str:
@@ -137,56 +127,84 @@ def edited(text: str, following: str) -> str:
 def _row(doc: int, text: str, mine, following: str, its) -> tuple:
     e = edited(text, following)
     fe = fingerprint(e)
-    return doc, len(text), hashlib.sha256(e.encode("utf-8", "surrogatepass")).digest(), as_bytes(mine), as_bytes(fe), likeness(mine, fe), likeness(mine, its), None, None
+    return doc, len(text), hashlib.sha256(e.encode("utf-8", "surrogatepass")).digest(), as_bytes(mine), as_bytes(fe), likeness(mine, fe), likeness(mine, its)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), COLS.values(), strict=True)], list(COLS))
 
 
+def _in_batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[3]) + len(row[4])
+        if size > HELD or len(held) == 10_000:
+            yield _batch(held)
+            held, size = [], 0
+    if held:
+        yield _batch(held)
+
+
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of all documents of a partition but its last, whose next one is elsewhere; the texts of its first and last (edge: the partition, n_chars: which of the two)."""
-    part, held, first, first_only = TaskContext.get().partitionId(), None, None, True
-    for batch in batches:
-        rows = []
-        for doc, text in texts(batch):
-            text = text or ""
-            mine = fingerprint(text)
-            if held is None:
-                first = (doc, text)
-            else:
-                rows.append(_row(*held, text, mine))
-                first_only = False
-            held = (doc, text, mine)
-        if rows:
-            yield _batch(rows)
-    if held is not None:
-        ends = [first] if first_only else [first, held[:2]]
-        yield _batch([(doc, k, None, None, None, None, None, part, text) for k, (doc, text) in enumerate(ends)])
+    """Rows of all documents of a partition but its last, whose next one is elsewhere."""
+
+    def rows() -> Iterator[tuple]:
+        held = None
+        for batch in batches:
+            for doc, text in texts(batch):
+                text = text or ""
+                mine = fingerprint(text)
+                if held is not None:
+                    yield _row(*held, text, mine)
+                held = (doc, text, mine)
+
+    return _in_batches(rows())
 
 
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows that are missing, from at most two texts a partition in descending order of doc_id."""
-    head, held, prior = None, None, None
-    for batch in batches:
-        rows = []
-        for doc, part, text in zip(*(column(batch, c).to_pylist() for c in ("doc_id", "edge", "text")), strict=True):
-            mine = fingerprint(text)
-            head = head or (text, mine)
-            if held is not None and part != prior:
-                rows.append(_row(*held, text, mine))
-            held, prior = (doc, text, mine), part
-        if rows:
-            yield _batch(rows)
-    if held is not None:
-        yield _batch([_row(*held, *head)])
+    """The rows that are missing, from the texts at the two ends of each bucket, in the order of the buckets and of the documents in them."""
+
+    def rows() -> Iterator[tuple]:
+        head, held, prior = None, None, None
+        for batch in batches:
+            for doc, bucket, text in zip(*(column(batch, c).to_pylist() for c in ("doc_id", "bucket", "text")), strict=True):
+                text = text or ""
+                mine = fingerprint(text)
+                head = head or (text, mine)
+                if held is not None and bucket != prior:
+                    yield _row(*held, text, mine)
+                held, prior = (doc, text, mine), bucket
+        if held is not None:
+            yield _row(*held, *head)
+
+    return _in_batches(rows())
+
+
+def _deal(bounds: np.ndarray):
+    """Each row's bucket: ranges of doc_id, the greatest first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bucket = len(bounds) - np.searchsorted(bounds, column(batch, "doc_id").to_numpy(), side="right")
+            yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), *batch.columns], ["bucket", *batch.schema.names])
+
+    return run
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint) of every document; no shuffle."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array([as_text(fingerprint(t)) for t in column(batch, "text").to_pylist()], pa.string())], ["doc_id", "fingerprint"])
+            ids, found, size = [], [], 0
+            for doc, t in texts(batch):
+                ids.append(doc)
+                found.append(as_text(fingerprint(t)))
+                size += len(found[-1])
+                if size > HELD:
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.string())], ["doc_id", "fingerprint"])
+                    ids, found, size = [], [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.string())], ["doc_id", "fingerprint"])
 
     return id_text(docs).mapInArrow(run, "doc_id long, fingerprint string")
 
@@ -194,13 +212,19 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 def with_next(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Each document's fingerprint beside that of its edited text and its likeness to that and to the next document's.
 
-    The next document is the one of the next smaller doc_id, and for the smallest the greatest. Texts are shuffled once, into ranges of
-    doc_id; each partition is then one pass in order, and only the texts at its two ends are looked at again.
+    The next document is the one of the next smaller doc_id, and for the smallest the greatest (of equal ids, the one of the lesser
+    text is next). Texts are shuffled once, into ranges of doc_id; each partition is then one pass in order. The ranges are fixed
+    beforehand, so the documents at their ends are known and only those few texts are written and looked at again: fingerprints, which may
+    exceed the texts, go straight to the result.
     """
-    work = Scratch(spark, "fingerprints")
-    ordered = id_text(docs).repartitionByRange(n_buckets(spark), F.desc("doc_id")).sortWithinPartitions(F.desc("doc_id"))
-    found = work.save(ordered.mapInArrow(_neighbours, SCHEMA), "found")
-    ends = found.where("edge IS NOT NULL").repartition(1).sortWithinPartitions("edge", "n_chars").mapInArrow(_edges, SCHEMA)
+    work, n, given = Scratch(spark, "fingerprints"), n_buckets(spark), id_text(docs)
+    (cuts,) = given.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 10 * n)).first() if n > 1 else ([],)
+    deal = _deal(np.unique(np.array(cuts or [], np.int64)))
+    ids = given.select("doc_id").mapInArrow(deal, "bucket int, doc_id long").groupBy("bucket").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
+    ends = ids.select(F.explode(F.array_distinct(F.array("least", "most"))).alias("doc_id"))
+    ends = work.save(given.join(F.broadcast(ends), "doc_id").mapInArrow(deal, DEALT), "ends", free=False)
+    ends = ends.repartition(1).sortWithinPartitions("bucket", F.desc("doc_id"), F.desc("text")).mapInArrow(_edges, SCHEMA)
+    dealt = given.mapInArrow(deal, DEALT).repartitionById(n, F.col("bucket")).sortWithinPartitions(F.desc("doc_id"), F.desc("text"))
     text = lambda c: F.lower(F.hex(c)).alias(c)
-    out = found.where("edge IS NULL").unionByName(ends)
+    out = dealt.mapInArrow(_neighbours, SCHEMA).unionByName(ends)
     return out.select("doc_id", "n_chars", text("edited_sha256"), text("fingerprint"), text("edited_fingerprint"), "near_edited", "near_next")

@@ -92,6 +92,24 @@ def test_large_texts_take_the_least_anchors():
     assert fp.fingerprint(t)[0].tolist() == u[: fp.SIZE].tolist() and fp.fingerprint(t)[1].tolist() == p[first[: fp.SIZE]].tolist()
 
 
+def test_a_passage_in_very_long_texts_is_found():
+    rng = random.Random(8)
+    for n, shared in ((20000, 300), (20000, 20), (5000, 10)):
+        passage, a, b = words(rng, shared), words(rng, n), words(rng, n)
+        at, to = rng.randrange(n - shared), rng.randrange(n - shared)
+        a[at : at + shared], b[to : to + shared] = passage, passage
+        x, y = (fp.fingerprint(" ".join(t)) for t in (a, b))
+        want = len(fp.anchors(" ".join(passage))[0])
+        assert want and fp.likeness(x, y) * (len(x[0]) + len(y[0])) > 0.9 * want
+
+
+def test_every_anchor_is_kept():
+    rng = random.Random(9)
+    for n in (0, 3, 400, 30000):
+        t = " ".join(words(rng, n))
+        assert set(fp.fingerprint(t)[0].tolist()) == set(fp.anchors(t)[0].tolist())
+
+
 @pytest.mark.parametrize("parts", [1, 5])
 def test_next_documents_across_partitions(spark, parts):
     rows = near_copies()
@@ -119,3 +137,11 @@ def test_repeated_rows(spark):
     rows = [(1, "one text here"), (1, "one text here"), (2, "another text"), (2, "another text")]
     got = fp.with_next(spark, documents(spark, rows).repartition(4)).collect()
     assert sorted(r.doc_id for r in got) == [1, 1, 2, 2]
+
+
+def test_equal_ids_with_other_texts(spark):
+    rows = [(5, "five"), (2, None), (2, "two b"), (2, "two a"), (2, ""), (1, "one"), (5, "five too")]
+    got = fp.with_next(spark, documents(spark, rows).repartition(3)).collect()
+    chain = ["five too", "five", "two b", "two a", "", "", "one"]
+    want = sorted(hashlib.sha256(fp.edited(t, chain[(k + 1) % 7]).encode()).hexdigest() for k, t in enumerate(chain))
+    assert sorted(r.edited_sha256 for r in got) == want
