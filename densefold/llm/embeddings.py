@@ -5,9 +5,9 @@ vectors the one of the least id is kept.
 
 * Equal vectors of a label are one representative with a multiplicity, so copies are never paired with each other.
 * Centroids are fitted on a bounded sample (``SAMPLE`` representatives of least hash); all vectors are assigned. A vector also visits every
-  cell whose boundary is nearer than ``margin``. A pair is counted in one cell only: the lesser of its two home cells.
-  With margin = sqrt(2 - 2 * least) no link can be missed; the default, half of that, misses pairs that lie across a boundary and differ
-  mostly at right angles to it (see the README for the recall measured).
+  cell whose boundary is nearer than ``margin``. A pair is counted once: in the lesser of its two home cells, or in the other one where only
+  that holds both. The boundary lies between two vectors of different cells, so one of them is no further from it than half their chord: with
+  the default margin, half the greatest chord of a link, no link is missed; a smaller one misses some.
 * A cell of more than ``BLOCK`` vectors is cut into blocks, and each pair of blocks is a task of its own, so that no group
   outgrows a task. Only counts and a spanning set of links leave a block, never all pairs.
 
@@ -81,9 +81,10 @@ def _assign(fitted, margin: float):
                 c = fitted.value.get(dim)
                 if c is None or len(c) == 1:
                     row, cell, home = np.arange(len(rows)), np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
+                    visits = [b"\x80"] * len(rows)
                 else:
                     apart = np.sqrt(np.maximum(2 - 2 * (c @ c.T), 1e-12))
-                    row, cell, home = [], [], []
+                    row, cell, home, visits = [], [], [], []
                     for start in range(0, len(rows), 1024):  # rows by cells, block by block
                         sims = unit([blobs[i] for i in rows[start : start + 1024]]) @ c.T
                         best = sims.argmax(axis=1)
@@ -93,9 +94,11 @@ def _assign(fitted, margin: float):
                         row.append(i + start)
                         cell.append(j)
                         home.append(best[i])
+                        bits = [bits.tobytes() for bits in np.packbits(near, axis=1)]
+                        visits += [bits[k] for k in i.tolist()]
                     row, cell, home = map(np.concatenate, (row, cell, home))
                 part = batch.take(pa.array(rows[row]))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cell.astype(np.int32)), pa.array(home.astype(np.int32))], [*part.schema.names, "cell", "home"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cell.astype(np.int32)), pa.array(home.astype(np.int32)), pa.array(visits, pa.binary())], [*part.schema.names, "cell", "home", "visits"])
 
     return run
 
@@ -133,8 +136,14 @@ def _compare(least: float):
             linked = np.triu(linked, 1)
         i, j = np.nonzero(linked)
         i, j = a[i], b[j]
-        here = (np.minimum(home[i], home[j]) == cell[i]) & ((home[i] == cell[i]) | (home[j] == cell[i]))
-        i, j = i[here], j[here]
+        if (home != cell).any():
+            # Counted in the lesser home, or in the greater one if its own vector doesn't visit the lesser.
+            visits = np.frombuffer(b"".join(group.column("visits")[int(k)].as_py() for k in order), np.uint8).reshape(len(ids), -1)
+            low, high = np.minimum(home[i], home[j]), np.maximum(home[i], home[j])
+            own = np.where(home[i] == high, i, j)
+            both = (visits[own, low >> 3] >> (7 - (low & 7)).astype(np.uint8)) & 1 == 1
+            here = (cell[i] == low) | ((cell[i] == high) & ~both)
+            i, j = i[here], j[here]
         links = np.bincount(i, weights=size[j], minlength=len(ids)) + np.bincount(j, weights=size[i], minlength=len(ids))
         label = _spanning(i, j, len(ids))
         some = np.flatnonzero(links > 0)
@@ -147,7 +156,7 @@ def near_duplicates(spark: SparkSession, rows: DataFrame, least: float = 0.98, m
     """One row per vector: vec_id, n_links (vectors linked directly), component_id (least vec_id reachable), kept."""
     if not -1 < least <= 1:
         raise ValueError("the cosine must lie between -1 and 1")
-    margin = 0.5 * (2 - 2 * least) ** 0.5 if margin is None else margin
+    margin = 0.5 * (2 - 2 * least + 1e-12) ** 0.5 if margin is None else margin
     work = Scratch(spark, "embeddings")
     given = rows.select(F.col("vec_id").cast("bigint").alias("vec_id"), "embedding", F.col("label").cast("string").alias("label")).where("vec_id IS NOT NULL")
     read = work.save(given.mapInArrow(_read, "vec_id long, key binary, label string, dim int, vector binary"), "read")
@@ -162,11 +171,11 @@ def near_duplicates(spark: SparkSession, rows: DataFrame, least: float = 0.98, m
             some = reps.where(F.col("dim") == dim).select("vector", F.xxhash64("key").alias("h")).orderBy("h").limit(SAMPLE).collect()
             fitted[dim] = centroids(unit([bytes(s["vector"]) for s in some]), min(k, len(some)))
     shared = spark.sparkContext.broadcast(fitted)
-    cells = reps.select("rep", "n", "label", "dim", "vector").mapInArrow(_assign(shared, margin), "rep long, n long, label string, dim int, vector binary, cell int, home int")
+    cells = reps.select("rep", "n", "label", "dim", "vector").mapInArrow(_assign(shared, margin), "rep long, n long, label string, dim int, vector binary, cell int, home int, visits binary")
     cells = work.save(cells, "cells")
     blocks = cells.groupBy("label", "dim", "cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     cut = cells.join(blocks, ["label", "dim", "cell"]).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cut = cut.select("label", "dim", "cell", "home", "rep", "n", "vector", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), F.when(F.col("mine") <= F.col("other"), 0).otherwise(1).alias("side"))
+    cut = cut.select("label", "dim", "cell", "home", "visits", "rep", "n", "vector", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), F.when(F.col("mine") <= F.col("other"), 0).otherwise(1).alias("side"))
     found = work.save(cut.groupBy("label", "dim", "cell", "p", "q").applyInArrow(_compare(least), "rep long, links long, root long"), "found")
     work.drop("cells")
 

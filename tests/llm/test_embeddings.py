@@ -104,3 +104,11 @@ def test_empty_table(spark):
 def test_repeated_rows(spark):
     got = embeddings.near_duplicates(spark, frame(spark, [(5, [1.0, 2.0], 1), (5, [1.0, 2.0], 1), (4, [3.0, -1.0], 1)])).collect()
     assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(4, 0, 4), (5, 1, 5), (5, 1, 5)]
+
+
+@pytest.mark.parametrize("seed,cell,block", [(2, 4, 1024), (3, 8, 1024), (4, 6, 7)])
+def test_no_link_is_missed_at_boundaries(spark, monkeypatch, seed, cell, block):
+    monkeypatch.setattr(embeddings, "CELL", cell)
+    monkeypatch.setattr(embeddings, "BLOCK", block)
+    rng = np.random.default_rng(seed)
+    check(spark, [(i, rng.normal(size=3).tolist(), 1) for i in range(300)])
