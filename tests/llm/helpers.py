@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import math
 import random
+import unicodedata
+from collections import Counter
 
 from pyspark.sql import Row
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, bucket string, kind string, blob string, id string, n string, component string, label string, spans string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, bucket string, kind string, blob string, id string, n string, component string, label string, spans string, score string, lang_pred string, kept string, _text string, _gone string"
 
 
 def documents(spark, rows):
     """rows: (doc_id, text) or (doc_id, text, lang). Extra columns carry names that operators use inside."""
-    full = [(r[0], r[1], r[2] if len(r) > 2 else "en", "src", None if r[1] is None else len(r[1]), *["x"] * 8) for r in rows]
+    full = [(r[0], r[1], r[2] if len(r) > 2 else "en", "src", None if r[1] is None else len(r[1]), *["x"] * 13) for r in rows]
     return spark.createDataFrame(full, SCHEMA)
 
 
@@ -84,5 +87,38 @@ def plain_removed(rows, length):
     return out
 
 
+def plain_bayes(learn, texts, buckets=1 << 15, sharp=20):
+    """(label, score) of each text by a naive Bayes of dictionaries and logarithms. learn: (text, label)."""
+    def grams(text):
+        kept = " ".join("".join(c if unicodedata.category(c)[0] == "L" else " " for c in (text or "").lower()).split(" ")).split()
+        kept = f" {' '.join(kept)} " if kept else ""
+        out = Counter()
+        for n in (1, 2, 3):
+            for k in range(len(kept) - n + 1):
+                h = 0
+                for m, c in enumerate(kept[k : k + n], 1):
+                    h = (h * 0x100000001B3 + ord(c) + m) % 2**64
+                out[(h * 0x9E3779B97F4A7C15 % 2**64) >> 49] += 1
+        return out
+
+    counts, documents = {}, Counter()
+    for text, label in learn:
+        if text is not None and label is not None:
+            documents[label] += 1
+            counts.setdefault(label, Counter()).update(grams(text))
+    size = {x: sum(c.values()) + buckets for x, c in counts.items()}
+    out = []
+    for text in texts:
+        own = grams(text)
+        if not own or not counts:
+            out.append(("und", 0.0))
+            continue
+        like = {x: sum(m * math.log((c[f] + 1) / size[x]) for f, m in own.items()) for x, c in counts.items()}
+        best = min(like, key=lambda x: (-(like[x] + math.log(documents[x] / sum(documents.values()))), x))
+        n = sum(own.values())
+        out.append((best, 1 / sum(math.exp(min(50.0, (v - like[best]) / n * sharp)) for v in like.values())))
+    return out
+
+
 def as_rows(df) -> dict[int, Row]:
     return {r[0]: r for r in df.collect()}
