@@ -217,12 +217,12 @@ def with_next(spark: SparkSession, docs: DataFrame) -> DataFrame:
     beforehand, so the documents at their ends are known and only those few texts are written and looked at again: fingerprints, which may
     exceed the texts, go straight to the result.
     """
-    work, n, given = Scratch(spark, "fingerprints"), n_buckets(spark), id_text(docs)
+    work, n, given = Scratch(spark, "fingerprints"), n_buckets(spark, docs), id_text(docs)
     (cuts,) = given.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 10 * n)).first() if n > 1 else ([],)
     deal = _deal(np.unique(np.array(cuts or [], np.int64)))
     ids = given.select("doc_id").mapInArrow(deal, "bucket int, doc_id long").groupBy("bucket").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
     ends = ids.select(F.explode(F.array_distinct(F.array("least", "most"))).alias("doc_id"))
-    ends = work.save(given.join(F.broadcast(ends), "doc_id").mapInArrow(deal, DEALT), "ends", free=False)
+    ends = work.save(given.join(F.broadcast(ends), "doc_id").mapInArrow(deal, DEALT), "ends")
     ends = ends.repartition(1).sortWithinPartitions("bucket", F.desc("doc_id"), F.desc("text")).mapInArrow(_edges, SCHEMA)
     dealt = given.mapInArrow(deal, DEALT).repartitionById(n, F.col("bucket")).sortWithinPartitions(F.desc("doc_id"), F.desc("text"))
     text = lambda c: F.lower(F.hex(c)).alias(c)

@@ -326,7 +326,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, words: int = 5, num
     """
     if not 0 < num <= den or words < 1:
         raise ValueError("the similarity num/den must be over 0 and at most 1, and shingles must have words")
-    work, buckets = Scratch(spark, "jaccard"), n_buckets(spark)
+    work, buckets = Scratch(spark, "jaccard"), n_buckets(spark, docs)
     docs = id_text(docs)
     counted = work.save(docs.mapInArrow(_count(words), "doc_id long, n long, slice int, blob binary"), "counted")
     sizes = counted.where("doc_id IS NOT NULL").select("doc_id", "n")
@@ -375,7 +375,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, words: int = 5, num
     # Of the other pairs only those that lie in different components by now.
     a, b = known.select(F.col("id").alias("a"), F.col("component").alias("ca")), known.select(F.col("id").alias("b"), F.col("component").alias("cb"))
     apart = others.join(a, "a", "left").join(b, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    apart = work.save(apart.join(first.select("a", "b"), ["a", "b"], "left_anti"), "apart", free=False)
+    apart = work.save(apart.join(first.select("a", "b"), ["a", "b"], "left_anti"), "apart")
     if not apart.isEmpty():
         known = _joined(work, known, verified(apart, "verified_apart").where("linked").select("a", "b"), "round_apart")
     top = long.agg(F.max("rank")).first()[0] or 0
@@ -389,10 +389,10 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, words: int = 5, num
             break
         high = RANKS[r + 1] if r + 1 < len(RANKS) else top + 1
         label = known.select(F.col("id").alias("doc"), "component")
-        entries = work.save(long.join(label, "doc", "left").withColumn("component", F.coalesce("component", "doc")), f"entries{r}", free=False)
+        entries = work.save(long.join(label, "doc", "left").withColumn("component", F.coalesce("component", "doc")), f"entries{r}")
         if entries.groupBy("token").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").isEmpty():
             break  # every list lies in one component
-        new = work.save(_met(entries, low, high, num, den, block).distinct(), f"met{r}", free=False)
+        new = work.save(_met(entries, low, high, num, den, block).distinct(), f"met{r}")
         if new.isEmpty():
             continue
         checked = verified(new.where("NOT sure").select("a", "b"), f"verified{r + 1}")
@@ -433,7 +433,7 @@ def _met(entries: DataFrame, low: int, high: int, num: int, den: int, block: int
 
 def _joined(work: Scratch, known: DataFrame, links: DataFrame, name: str) -> DataFrame:
     """(id, component) after more links."""
-    links = work.save(links, f"{name}-links", free=False)
+    links = work.save(links, f"{name}-links")
     if links.isEmpty():
         return known
     a, b = known.select(F.col("id").alias("a"), F.col("component").alias("ca")), known.select(F.col("id").alias("b"), F.col("component").alias("cb"))
@@ -441,10 +441,11 @@ def _joined(work: Scratch, known: DataFrame, links: DataFrame, name: str) -> Dat
     moved = components(work, between, name).select(F.col("id").alias("component"), F.col("component").alias("top"))
     old = known.join(moved, "component", "left").select("id", F.coalesce("top", "component").alias("component"))
     new = moved.join(known, moved["component"] == known["id"], "left_anti").select(F.col("component").alias("id"), F.col("top").alias("component"))
-    return work.save(old.unionByName(new), f"{name}-known", free=False)
+    return work.save(old.unionByName(new), f"{name}-known")
 
 
 def keep_first(spark: SparkSession, docs: DataFrame, words: int = 5, num: int = 8, den: int = 10) -> DataFrame:
     """The documents with the least id of their component, all columns kept."""
-    drop = jaccard_components(spark, docs, words, num, den).where("component_id <> doc_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(drop, F.col("doc_id").cast("bigint") == F.col("_gone"), "left_anti")
+    gone = jaccard_components(spark, docs, words, num, den).where("component_id <> doc_id").select("doc_id")
+    whole = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)]).alias("kept"))
+    return whole.join(gone, "doc_id", "left_anti").select(*[F.col(f"kept.c{k}").alias(c) for k, c in enumerate(docs.columns)])

@@ -2,18 +2,27 @@
 
 Method: configuration linear program over the histogram of lengths. A configuration is a set of lengths that
 fits a sequence; the program asks for the fewest configurations that cover every length as often as it
-occurs. Multiplicative weights solve it: each round prices the lengths by how much of them is uncovered, a knapsack by
-dynamic programming finds the configuration of the highest price, and it is taken for a share of what its scarcest length has left,
-rounded down to whole sequences. What remains is filled best-fit, longest first, again as configurations. Any set of prices bounds the
-optimum from below (``Plan.bound``).
+occurs. Multiplicative weights solve it:
 
-The histogram has at most ``cap`` rows, so the program's size doesn't depend on the input. Documents are
-encoded once; pieces are then numbered within each length by task, and number and plan together give each piece's place by
-arithmetic. No text or token is shuffled, and no key is too hot: a length that all pieces share is just one row of counts per task.
+* The weight of a length starts as its share of all tokens and falls exponentially with the share of its demand that is covered, so a
+  length's price is ``length * exp(-RATE * covered)``.
+* A knapsack by dynamic programming finds the configuration of the highest price. Its table gives the best one with each length in it, too;
+  all those within ``NEAR`` of the highest are taken, each for as much as covers ``STEP`` of its scarcest length, before lengths are priced anew.
+* Lengths that are covered leave; it ends when all have (``Plan.fractional`` is the value of the solution). Each round's prices bound
+  the optimum from below (``Plan.bound``, no less than tokens / cap).
+
+The fractional solution is rounded: configurations that are at least as full as the bound asks for on average are kept, as many whole ones as there are,
+the fullest first and never beyond what is there of a length. What remains goes best-fit, longest first, into the room that is left in those and into new
+sequences. Measured at sf0.1: 9,872 sequences against a bound of 9,870.1, 72 % of them from the program.
+
+The histogram has at most ``cap`` rows, so the program's size doesn't depend on the input, and what is broadcast is the plan: some thousand
+configurations. Documents are encoded once; pieces are numbered within each length by task. Prefix sums of the counts by length and task
+(in blocks of ``PARTS`` tasks) and the number within the task give each piece's number, and the plan its place, by arithmetic. Counts meet pieces in a shuffle join on the task's
+number, which no key can make uneven: every task has its own pieces. No text or token is shuffled.
 
 A document longer than ``cap`` is cut into pieces of ``cap`` tokens, of which the first may be shorter; others stay whole.
-Null texts count as empty and are the end token alone. Ids must be unique and not null (rows with a null id
-are left out); other columns are ignored.
+Null and empty texts are the end token alone. Lengths that tie are alike: any of them may take any of their places. Ids must not be null (such rows
+are left out); rows that repeat an id are documents of their own, each packed. An empty table gives an empty table. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,16 +43,16 @@ from pyspark.sql import functions as F
 from densefold.llm.bpe import whole_encoder
 from densefold.llm.common import Scratch, column, id_text, texts
 
-#: Most rounds of the program, the share of the scarcest length that a round takes, the learning rate, and the power of a length in
-#: its price (over 1, so that long pieces, which are the hardest to place, go early). The last 5 % of the tokens are left to best-fit.
-ROUNDS, SHARE, RATE, POWER, REST = 900, 0.5, 4.0, 1.1, 0.05
+#: Most rounds of the program, what a configuration may cover of its scarcest length in a round, the rate at which weights fall, and how near to the
+#: highest price a configuration must come.
+ROUNDS, STEP, RATE, NEAR = 400, 0.25, 4.0, 0.01
+#: Tasks of which the counts are added up together.
+PARTS = 1024
 
 
-def knapsack(lengths: np.ndarray, prices: np.ndarray, cap: int) -> tuple[Counter, float]:
-    """Lengths (with repeats) of the highest total price that fit into cap, and that price."""
+def price_table(lengths: np.ndarray, prices: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each room up to cap: the highest total price that fits, and the length (by index) that it begins with (-1: the same as with less room)."""
     best, choice = np.zeros(cap + 1), np.full(cap + 1, -1)
-    order = np.argsort(lengths)
-    lengths, prices = lengths[order], prices[order]
     upto = np.searchsorted(lengths, np.arange(cap + 1), side="right")
     for c in range(1, cap + 1):
         k = upto[c]
@@ -53,61 +62,102 @@ def knapsack(lengths: np.ndarray, prices: np.ndarray, cap: int) -> tuple[Counter
             j = int(worth.argmax())
             if worth[j] > best[c]:
                 best[c], choice[c] = worth[j], j
-    out, c = Counter(), cap
-    while c > 0:
-        if choice[c] < 0:
-            c -= 1
+    return best, choice
+
+
+def filling(lengths: list[int], choice: list[int], room: int) -> Counter:
+    """Lengths, by index, of the highest price for so much room."""
+    out: Counter = Counter()
+    while room > 0:
+        if choice[room] < 0:
+            room -= 1
         else:
-            out[int(lengths[choice[c]])] += 1
-            c -= int(lengths[choice[c]])
-    return out, float(best[cap])
+            out[choice[room]] += 1
+            room -= lengths[choice[room]]
+    return out
+
+
+def knapsack(lengths: np.ndarray, prices: np.ndarray, cap: int) -> tuple[Counter, float]:
+    """Lengths (with repeats) of the highest total price that fit into cap, and that price. Lengths ascend."""
+    best, choice = price_table(lengths, prices, cap)
+    found = filling(lengths.tolist(), choice.tolist(), cap)
+    return Counter({int(lengths[j]): m for j, m in found.items()}), float(best[cap])
 
 
 @dataclass
 class Plan:
-    """Configurations with their number of sequences; ``bound`` is a lower bound on the number of sequences."""
+    """Configurations with their number of sequences; a lower bound on the number of sequences; the value of the fractional solution."""
 
     configurations: list[tuple[Counter, int]]
     bound: float
+    fractional: float = 0.0
 
     @property
     def n_sequences(self) -> int:
         return sum(n for _, n in self.configurations)
 
 
+def program(lengths: np.ndarray, demand: np.ndarray, cap: int, rounds: int = ROUNDS) -> tuple[dict[tuple, float], float, float]:
+    """(solution, value, bound): configurations as ((length, times), ...) with the fractional number of sequences of each.
+
+    The value is that of the solution scaled up to cover everything, should the rounds end before it does.
+    """
+    covered, bound = np.zeros(len(lengths)), float((lengths * demand).sum()) / cap
+    found: dict[tuple, float] = {}
+    for _ in range(rounds):
+        live = np.flatnonzero(covered < 1)
+        if not len(live):
+            break
+        some = lengths[live]
+        prices = some * np.exp(-RATE * (covered[live] - covered[live].min()))
+        best, choice = price_table(some, prices, cap)
+        bound = max(bound, float((prices * demand[live]).sum() / best[cap]))
+        worth = prices + best[cap - some]
+        near = np.flatnonzero(worth >= (1 - NEAR) * best[cap])
+        at, pick, sizes = covered.copy(), choice.tolist(), some.tolist()
+        for j in near[np.argsort(-worth[near], kind="stable")].tolist():
+            c = filling(sizes, pick, cap - sizes[j])
+            c[j] += 1
+            own = [(int(live[i]), m) for i, m in c.items()]
+            # Prices hold for lengths that this round hasn't moved by more than a step.
+            if any(covered[i] >= min(1.0, at[i] + STEP) for i, _ in own):
+                continue
+            x = min(min(STEP, 1 - covered[i]) * demand[i] / m for i, m in own)
+            key = tuple(sorted((int(lengths[i]), m) for i, m in own))
+            found[key] = found.get(key, 0.0) + x
+            for i, m in own:
+                covered[i] += m * x / demand[i]
+                if covered[i] > 1 - 1e-9:
+                    covered[i] = 1.0
+    least = float(covered.min()) if len(covered) else 1.0
+    return found, sum(found.values()) / max(least, 1e-9), bound
+
+
 def solve(histogram: dict[int, int], cap: int, rounds: int = ROUNDS) -> Plan:
-    """Cover the histogram (length: count) with configurations."""
+    """Cover the histogram (length: count) with configurations, each length exactly as often as it occurs."""
     left = {k: n for k, n in histogram.items() if n > 0}
     if not left:
         return Plan([], 0.0)
     if min(left) < 1 or max(left) > cap:
         raise ValueError(f"lengths must lie between 1 and {cap}")
     lengths = np.array(sorted(left), np.int64)
-    demand = np.array([left[int(k)] for k in lengths], float)
-    volume = float((lengths * demand).sum())
-    bound, done = volume / cap, []
-    for _ in range(rounds):
-        rest = np.array([left.get(int(k), 0) for k in lengths], float)
-        share = float((lengths * rest).sum()) / volume
-        if share <= REST:
+    fractions, value, bound = program(lengths, np.array([left[int(k)] for k in lengths], float), cap, rounds)
+    whole: list[tuple[Counter, int]] = []
+    full = sum(k * n for k, n in left.items()) / bound - 1e-6
+    fill = lambda c: sum(k * m for k, m in c)
+    for c, x in sorted(fractions.items(), key=lambda f: (-fill(f[0]), -f[1], f[0])):
+        if fill(c) < full:
             break
-        prices = (lengths / cap) ** POWER * np.exp(RATE * (rest / demand - share))
-        some = rest > 0
-        found, worth = knapsack(lengths[some], prices[some], cap)
-        if some.all():
-            bound = max(bound, float((prices * demand).sum() / worth))
-        c = Counter({k: min(m, left[k]) for k, m in found.items()})
-        n = max(1, int(SHARE * min(left[k] // m for k, m in c.items())))
-        done.append((c, n))
-        for k, m in c.items():
-            left[k] -= m * n
-            if not left[k]:
-                del left[k]
-    return Plan(done + best_fit(left, cap), bound)
-
-
-def best_fit(left: dict[int, int], cap: int) -> list[tuple[Counter, int]]:
-    """Best-fit decreasing over a histogram: sequences that are filled alike are handled as one."""
+        n = min(int(x + 1e-9), *(left.get(k, 0) // m for k, m in c))
+        if n > 0:
+            whole.append((Counter(dict(c)), n))
+            for k, m in c:
+                left[k] -= m * n
+    return Plan(best_fit({k: n for k, n in left.items() if n}, cap, whole), bound, value)
+
+
+def best_fit(left: dict[int, int], cap: int, begun: list[tuple[Counter, int]] = ()) -> list[tuple[Counter, int]]:
+    """Best-fit decreasing over a histogram, into sequences that are begun already and new ones: those that are filled alike are handled as one."""
     alike: dict[int, dict[tuple, int]] = {}  # by room left: what they hold, and how many there are
     rooms: list[int] = []
 
@@ -117,6 +167,8 @@ def best_fit(left: dict[int, int], cap: int) -> list[tuple[Counter, int]]:
             insort(rooms, room)
         alike[room][held] = alike[room].get(held, 0) + n
 
+    for c, n in begun:
+        add(cap - sum(k * m for k, m in c.items()), tuple(sorted(c.items(), reverse=True)), n)
     for k in sorted(left, reverse=True):
         n = left[k]
         while n:
@@ -136,7 +188,14 @@ def best_fit(left: dict[int, int], cap: int) -> list[tuple[Counter, int]]:
                         rooms.pop(i)
             add(room - m * k, (*held, (k, m)), many)
             n -= m * many
-    return [(Counter(dict(held)), n) for by in alike.values() for held, n in by.items()]
+    out = []
+    for by in alike.values():
+        for held, n in by.items():
+            c: Counter = Counter()
+            for k, m in held:
+                c[k] += m
+            out.append((c, n))
+    return out
 
 
 def _cut(path: str, end_id: int, cap: int, with_ids: bool):
@@ -211,8 +270,12 @@ def pack(spark: SparkSession, docs: DataFrame, path: str, end_id: int, cap: int
     counts = work.save(pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n")), "counts")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most cap rows
     slots = spark.sparkContext.broadcast(_slots(solve(histogram, cap)))
-    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    first = counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    numbered = pieces.join(first, ["part", "length"]).withColumn("number", F.col("first") + F.col("rank"))
+    # How many pieces of each length the tasks before have: of whole blocks of tasks, and within the block.
+    block = F.expr(f"part div {PARTS}").alias("block")
+    before = lambda *by: Window.partitionBy("length", *by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = counts.groupBy("length", block).agg(F.sum("n").alias("n")).select("length", "block", F.coalesce(F.sum("n").over(before("block")), F.lit(0)).alias("ahead"))
+    within = counts.select("part", "length", "n", block).select("part", "length", "block", F.coalesce(F.sum("n").over(before("block", "part")), F.lit(0)).alias("before"))
+    first = within.join(blocks.hint("merge"), ["length", "block"]).select("part", "length", (F.col("ahead") + F.col("before")).alias("first"))
+    numbered = pieces.join(first.hint("merge"), ["part", "length"]).withColumn("number", F.col("first") + F.col("rank"))
     out = numbered.select("doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else []), "number")
     return out.mapInArrow(_place(slots), f"{base}{extra}, sequence_id long, offset long")

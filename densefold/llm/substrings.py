@@ -401,11 +401,11 @@ def _beside(records: DataFrame, docs: DataFrame, buckets: int) -> DataFrame:
     return r.unionByName(t).repartitionById(buckets, "bucket").sortWithinPartitions("kind")
 
 
-def _spans(spark: SparkSession, docs: DataFrame, length: int, work: Scratch) -> DataFrame:
+def _spans(docs: DataFrame, length: int, work: Scratch, buckets: int) -> DataFrame:
     """The repeated windows of all documents, merged where they meet, packed by document."""
     if length < 16:
         raise ValueError("strings must have at least 16 bytes")
-    span, buckets = length - max(12, min(32, length // 3)) + 1, n_buckets(spark)
+    span = length - max(12, min(32, length // 3)) + 1
     docs = docs.where(F.octet_length("text") >= length)
     anchors = docs.mapInArrow(_send_anchors(length, span, buckets), PACKED).repartitionById(buckets, "bucket")
     places = work.save(anchors.mapInArrow(_shared_anchors(buckets), PACKED), "places")
@@ -417,9 +417,9 @@ def _spans(spark: SparkSession, docs: DataFrame, length: int, work: Scratch) ->
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = 50) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, spans (start and end of each maximal removed run), kept (the remaining bytes)."""
-    docs = id_text(docs)
-    spans = _spans(spark, docs, length, Scratch(spark, "substrings"))
-    return _beside(spans, docs, n_buckets(spark)).mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, spans array<struct<start:int,end:int>>, kept binary")
+    docs, buckets = id_text(docs), n_buckets(spark, docs)
+    spans = _spans(docs, length, Scratch(spark, "substrings"), buckets)
+    return _beside(spans, docs, buckets).mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, spans array<struct<start:int,end:int>>, kept binary")
 
 
 def cut_texts(spark: SparkSession, docs: DataFrame, length: int) -> DataFrame:
@@ -427,11 +427,12 @@ def cut_texts(spark: SparkSession, docs: DataFrame, length: int) -> DataFrame:
 
     Characters of which only some bytes are repeated stay. Documents of which no text is left go.
     """
-    spans = _spans(spark, id_text(docs), length, Scratch(spark, "substrings"))
+    buckets = n_buckets(spark, docs)
+    spans = _spans(id_text(docs), length, Scratch(spark, "substrings"), buckets)
     rest = F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns) if c != "text"]).alias("rest")
     given = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), rest).where("doc_id IS NOT NULL")
     schema = f"text string, rest {given.schema['rest'].dataType.simpleString()}"
-    cut = _beside(spans, given, n_buckets(spark)).mapInArrow(_whole_characters, schema).where("text <> ''")
+    cut = _beside(spans, given, buckets).mapInArrow(_whole_characters, schema).where("text <> ''")
     new = {"text": F.col("text"), "n_chars": F.length("text").cast("bigint")}
     return cut.select(*[(new[c] if c in new else F.col(f"rest.c{k}")).alias(c) for k, c in enumerate(docs.columns)])
 

@@ -122,7 +122,7 @@ def _write(uri: str, path: str, end_id: int):
 def write(spark: SparkSession, docs: DataFrame, path: str, end_id: int, work: Scratch | None = None) -> tuple[Scratch, DataFrame]:
     """Write all documents; returns the folder and the index."""
     work = work or Scratch(spark, "tokens")
-    ordered = id_text(docs).repartitionByRange(n_buckets(spark), "doc_id").sortWithinPartitions("doc_id")
+    ordered = id_text(docs).repartitionByRange(n_buckets(spark, docs), "doc_id").sortWithinPartitions("doc_id")
     return work, work.save(ordered.mapInArrow(_write(f"{work.uri}", path, end_id), INDEX), "index")
 
 

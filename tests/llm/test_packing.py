@@ -36,7 +36,52 @@ def test_plans_cover_the_histogram(histogram):
         for k, m in c.items():
             used[k] += m * n
     assert dict(used) == histogram
-    assert plan.bound - 1e-6 <= plan.n_sequences <= 1.02 * plan.bound + 12
+    assert plan.bound - 1e-6 <= plan.n_sequences <= 1.005 * plan.bound + 2
+    if histogram:
+        assert plan.bound - 1e-6 <= plan.fractional <= 1.15 * plan.bound
+
+
+def most_full(histogram, cap):
+    """Fewest sequences by trying everything, for a few pieces."""
+    pieces = sorted((k for k, n in histogram.items() for _ in range(n)), reverse=True)
+    best = [len(pieces)]
+
+    def place(i, rooms):
+        if len(rooms) >= best[0]:
+            return
+        if i == len(pieces):
+            best[0] = len(rooms)
+            return
+        for j in sorted(set(range(len(rooms))), key=lambda j: rooms[j]):
+            if rooms[j] >= pieces[i]:
+                place(i + 1, [*rooms[:j], rooms[j] - pieces[i], *rooms[j + 1 :]])
+        place(i + 1, [*rooms, cap - pieces[i]])
+
+    place(0, [])
+    return best[0]
+
+
+def test_near_the_optimum_of_small_histograms():
+    rng = random.Random(9)
+    for _ in range(25):
+        cap = rng.randint(10, 40)
+        histogram = {k: rng.randint(1, 3) for k in rng.sample(range(1, cap + 1), 4)}
+        plan, best = packing.solve(histogram, cap), most_full(histogram, cap)
+        assert plan.bound - 1e-6 <= best <= plan.n_sequences <= best + 1
+
+
+def test_solution_covers_every_length():
+    rng = random.Random(2)
+    lengths = np.array(sorted(rng.sample(range(1, 200), 60)))
+    demand = np.array([float(rng.randint(1, 5000)) for _ in lengths])
+    found, value, bound = packing.program(lengths, demand, 200)
+    covered = dict.fromkeys(lengths.tolist(), 0.0)
+    for c, x in found.items():
+        assert sum(k * m for k, m in c) <= 200
+        for k, m in c:
+            covered[k] += m * x
+    assert all(covered[k] >= d * (1 - 1e-6) for k, d in zip(lengths.tolist(), demand, strict=True))
+    assert bound <= value <= 1.05 * bound and abs(value - sum(found.values())) < 1e-6 * value
 
 
 def test_perfect_pairs():
@@ -68,6 +113,18 @@ def test_pieces_and_places(spark):
     assert packing.pack(spark, documents(spark, []), PATH, end_id=2).collect() == []
 
 
+def test_numbers_over_many_tasks(spark, monkeypatch):
+    """Pieces of one length from tasks of several blocks get all places once."""
+    monkeypatch.setattr(packing, "PARTS", 3)
+    rows = [(i, "some words of a text " * (1 + i % 3)) for i in range(200)]
+    got = packing.pack(spark, documents(spark, rows).repartition(11), PATH, end_id=2, cap=64).collect()
+    assert len(got) == 200 and len({(r.sequence_id, r.offset) for r in got}) == 200
+    full = defaultdict(int)
+    for r in got:
+        full[r.sequence_id] += r.length
+    assert max(full.values()) <= 64
+
+
 def test_repeated_rows(spark):
     got = packing.pack(spark, documents(spark, [(5, "some text"), (5, "some text")]), PATH, end_id=2).collect()
     assert len(got) == 2 and len({(r.sequence_id, r.offset) for r in got}) == 2
