@@ -13,7 +13,7 @@ PASSAGE = 150
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a recognisable language (null texts, texts without a letter) go."""
+    """Documents without a recognisable language (null texts, texts without a letter) go, and so do those that the model takes with certainty for another language than they declare."""
     return langid.keep_identified(spark, docs)
 
 
@@ -43,4 +43,3 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         docs = work.save(stage(spark, docs, sf_dir), f"stage{k}")
     return docs
-
