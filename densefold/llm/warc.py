@@ -1,13 +1,21 @@
 """WARC archives: a Spark data source for reading and writing, and deduplicated archiving of pages.
 
 Method: a Python data source. Planning gives each archive file a partition. Predicates on record type and on the other header columns
-are pushed down: a reader parses a record's headers first, and of records that no predicate lets through it neither decompresses nor
-decodes the payload. That works without an index: each record is a gzip member of its own, whose extra field ``sl`` (skip-lengths) holds its
-compressed and plain size; members of other writers that lack it are read through. Plain, uncompressed archives are skipped by Content-Length.
+are pushed down: a reader parses a record's headers first, and of records that no predicate lets through it doesn't decode the payload.
+
+* Archives of this writer have a gzip member for each record, whose extra field ``sl`` (skip-lengths) holds its compressed and plain size: only
+  the headers of unwanted records are inflated, the rest is skipped in the file.
+* Other gzip archives, whether they have a member for each record, one for all, or members cut anywhere, are one inflated stream of records. It is inflated
+  just far enough to parse a record's headers; an unwanted payload runs through a small buffer and is never put together.
+* Plain, uncompressed archives are skipped by Content-Length.
 
 Records are ``response`` (an HTTP head and the payload) or ``revisit`` (the HTTP head alone, with the digest of the payload and the id of the record
 that holds it). A writer's task has a file of its own, and only the files of tasks that ended well are named in the manifest that the commit writes;
-a reader takes the files of the manifest, or all ``*.warc`` and ``*.warc.gz`` where there is none.
+a reader takes the files of the manifest, or all ``*.warc`` and ``*.warc.gz`` where there is none; a folder without any, or an empty table, gives no rows.
+
+A payload of any length is one value, so it must fit a task as it must fit a row; null payloads are empty. Rows that repeat, ids included, are records
+of their own. The source has its own columns; other columns of a table that is archived are ignored, whatever their names. Of equal payloads the
+one of the greatest id is the response; equal ids with equal payloads tie, and all of them are responses.
 """
 
 from __future__ import annotations
@@ -36,6 +44,8 @@ DATE = "1970-01-01T00:00:00Z"
 LEVEL = 1
 HEAD_BYTES = 4096
 FLUSH = 8 << 20
+#: What is read from a file, and what is inflated, at once.
+READ, INFLATED = 1 << 20, 1 << 16
 
 # The format's own texts.
 VERSION = b"WARC/1.1"
@@ -51,6 +61,19 @@ def _id(x: str | None) -> str | None:
     return x[1:-1] if x and x[0] == "<" and x[-1] == ">" else x
 
 
+def _sha1(digest: str) -> str | None:
+    """Hexadecimal form of a SHA-1 digest, which archives hold in base 32 or hexadecimal; null for other digests."""
+    kind, _, value = digest.partition(":")
+    if kind.strip().lower() != "sha1":
+        return None
+    value = value.strip()
+    try:
+        raw = bytes.fromhex(value) if len(value) == 40 else base64.b32decode(value.upper())
+    except ValueError:
+        return None
+    return raw.hex() if len(raw) == 20 else None
+
+
 def record(record_id: str, kind: str, uri: str | None, payload: bytes, refers_to: str | None = None, date: str = DATE) -> bytes:
     """One record, uncompressed. Line breaks in a URI would end its header, so they are percent-encoded."""
     digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
@@ -76,17 +99,22 @@ def member(data: bytes, level: int = LEVEL) -> bytes:
 
 
 class _Input:
-    """A stream with a buffer that can be looked into."""
+    """A file with a buffer that can be looked into."""
 
     def __init__(self, stream):
         self.stream, self.held, self.k = stream, b"", 0
 
+    def more(self, n: int) -> bytes:
+        return self.stream.read(max(READ, n))
+
     def peek(self, n: int) -> bytes:
-        while len(self.held) - self.k < n:
-            more = self.stream.read(max(1 << 20, n))
-            if not more:
-                break
-            self.held, self.k = self.held[self.k :] + more, 0
+        """The next n bytes, or all that are left."""
+        if len(self.held) - self.k < n:
+            parts, have = [self.held[self.k :]], len(self.held) - self.k
+            while have < n and (more := self.more(n - have)):
+                parts.append(more)
+                have += len(more)
+            self.held, self.k = b"".join(parts), 0
         return self.held[self.k : self.k + n]
 
     def skip(self, n: int) -> None:
@@ -95,7 +123,46 @@ class _Input:
             self.k += n
         else:
             self.held, self.k = b"", 0
-            self.stream.seek(self.stream.tell() + n - have)
+            self.past(n - have)
+
+    def past(self, n: int) -> None:
+        self.stream.seek(self.stream.tell() + n)
+
+
+class _Inflated(_Input):
+    """What gzip members hold, one after the other, wherever records begin and end in them."""
+
+    def __init__(self, src: _Input):
+        super().__init__(None)
+        self.src, self.member = src, None
+
+    def more(self, n: int = INFLATED) -> bytes:
+        while True:
+            if self.member is None:
+                if not self.src.peek(1):
+                    return b""
+                self.member = zlib.decompressobj(31)
+            member, chunk = self.member, self.src.peek(INFLATED)
+            out = member.decompress(chunk, max(INFLATED, n))
+            self.src.skip(len(chunk) - len(member.unused_data if member.eof else member.unconsumed_tail))
+            if member.eof:
+                self.member = None
+            elif not chunk and not out:
+                raise ValueError("gzip member cut short")
+            if out:
+                return out
+
+    def past(self, n: int) -> None:
+        while n > 0:
+            out = self.more()
+            if not out:
+                return
+            self.held, self.k = out, min(n, len(out))
+            n -= self.k
+
+    def at_member(self) -> bool:
+        """Whether everything inflated so far is used up and the next member, if any, is untouched."""
+        return self.member is None and self.k == len(self.held)
 
 
 def _parse_head(raw: bytes) -> dict[str, str]:
@@ -105,13 +172,37 @@ def _parse_head(raw: bytes) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
 
 
-def records(stream, wanted, with_payload: bool = True) -> Iterator[tuple[dict[str, str], bytes | None]]:
-    """(headers, block) of the records whose headers ``wanted`` takes. Of others only the headers are decompressed."""
+def _plain_record(src: _Input, wanted, with_payload: bool) -> Iterator[tuple[dict[str, str], bytes]]:
+    """The record that begins here, if it is wanted; the input then stands behind it."""
+    n = HEAD_BYTES
+    while (end := (part := src.peek(n)).find(END)) < 0:
+        if len(part) < n:
+            raise ValueError("record head cut short")
+        n *= 2
+    fields = _parse_head(part[:end])
+    size = int(fields["content-length"])
+    src.skip(end + 4)
+    if wanted(fields):
+        block = src.peek(size if with_payload or fields.get("warc-type") == "revisit" else min(size, HEAD_BYTES))
+        if with_payload and len(block) < size:
+            raise ValueError("record cut short")
+        yield fields, block
+    src.skip(size)
+    # Two line ends close a record; writers that leave them out, or put in more, are read all the same.
+    while (ends := src.peek(4)) and ends[:1] in b"\r\n":
+        src.skip(len(ends) - len(ends.lstrip(b"\r\n")))
+
+
+def records(stream, wanted, with_payload: bool = True) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers, block) of the records whose headers ``wanted`` takes. Without payloads a block is cut off after its first bytes, which hold an HTTP head."""
     src = _Input(stream)
-    while head := src.peek(24):
-        if head[:2] == b"\x1f\x8b":
-            known = len(head) == 24 and head[3] == 4 and head[12:14] == b"sl"
-            if known:
+    inflated = _Inflated(src)
+    while True:
+        if inflated.at_member():
+            head = src.peek(24)
+            if not head:
+                return
+            if len(head) == 24 and head[:4] == b"\x1f\x8b\x08\x04" and head[12:14] == b"sl":
                 size = struct.unpack_from("<I", head, 16)[0]
                 part = zlib.decompressobj(31).decompress(src.peek(min(size, HEAD_BYTES)), HEAD_BYTES)
                 end = part.find(END)
@@ -124,30 +215,12 @@ def records(stream, wanted, with_payload: bool = True) -> Iterator[tuple[dict[st
                     yield fields, whole[end + 4 : end + 4 + int(fields["content-length"])]
                 src.skip(size)
                 continue
-            d, out = zlib.decompressobj(31), []
-            while not d.eof:
-                chunk = src.peek(1 << 16)
-                if not chunk:
-                    raise ValueError("gzip member cut short")
-                out.append(d.decompress(chunk))
-                src.skip(len(chunk) - len(d.unused_data))
-            whole = b"".join(out)
-            end = whole.index(END)
-            fields = _parse_head(whole[:end])
-            if wanted(fields):
-                yield fields, whole[end + 4 : end + 4 + int(fields["content-length"])]
-        else:
-            n = HEAD_BYTES
-            while (end := (part := src.peek(n)).find(END)) < 0:
-                if len(part) < n:
-                    raise ValueError("record head cut short")
-                n *= 2
-            fields = _parse_head(part[:end])
-            size = int(fields["content-length"])
-            src.skip(end + 4)
-            if wanted(fields):
-                yield fields, src.peek(size)
-            src.skip(size + 4)
+            if head[:2] != b"\x1f\x8b":
+                yield from _plain_record(src, wanted, with_payload)
+                continue
+        if not inflated.peek(1):
+            return
+        yield from _plain_record(inflated, wanted, with_payload)
 
 
 class _File(InputPartition):
@@ -208,14 +281,14 @@ class WarcReader(DataSourceReader):
             yield self._batch(rows)
 
     def _row(self, fields: dict[str, str], block: bytes) -> tuple:
-        digest, revisit = fields.get("warc-payload-digest", ""), fields.get("warc-type") == "revisit"
-        sha1 = base64.b32decode(digest[5:]).hex() if digest.startswith("sha1:") else None
-        payload, size = block, len(block)
+        revisit = fields.get("warc-type") == "revisit"
+        payload, size = block, int(fields["content-length"])
         if fields.get("content-type", "").startswith("application/http"):
-            http, _, payload = block.partition(END)
-            size = len(payload)
-            if revisit or not self.with_payload:
+            http, end, payload = block.partition(END)
+            size -= len(http) + len(end)
+            if revisit:
                 size = next((int(v) for k, _, v in (x.partition(b":") for x in http.split(b"\r\n")[1:]) if k.strip().lower() == b"content-length"), size)
+        sha1 = _sha1(fields.get("warc-payload-digest", ""))
         if self.with_payload and not revisit and sha1 is not None and hashlib.sha1(payload).hexdigest() != sha1:
             raise ValueError(f"{fields.get('warc-record-id')}: payload doesn't match its digest")
         return (*(_id(fields.get(h)) for h in list(HEADERS.values())[:4]), sha1, _id(fields.get("warc-refers-to")), size, payload if self.with_payload and not revisit else None)

@@ -1,6 +1,8 @@
 import gzip
 import hashlib
 import io
+import tracemalloc
+import zlib
 
 import pytest
 from oracle import DATA, compare
@@ -58,6 +60,73 @@ def test_reads_archives_of_other_writers(spark, folder):
         assert r.payload_bytes == len(b"body %d " % i * 3000) and (r.payload is None) == (i % 3 == 0)
 
 
+def in_pieces(data, n):
+    """Gzip members that are cut anywhere."""
+    return b"".join(gzip.compress(data[k : k + n]) for k in range(0, len(data), n))
+
+
+RECORDS = [warc.record(f"urn:{k}", "revisit" if k == 3 else "response", f"http://h/{k}", b"%d-payload " % k * (1 + 40_000 * (k % 3)), "urn:0") for k in range(8)]
+FORMS = {
+    "own": b"".join(map(warc.member, RECORDS)), "plain": b"".join(RECORDS), "member_each": b"".join(map(gzip.compress, RECORDS)), "one_stream": gzip.compress(b"".join(RECORDS)),
+    "pieces": in_pieces(b"".join(RECORDS), 70_001), "tiny_pieces": in_pieces(b"".join(RECORDS)[:3000], 17) + in_pieces(b"".join(RECORDS)[3000:], 90_000),
+    "stream_then_own": gzip.compress(b"".join(RECORDS[:5])) + b"".join(map(warc.member, RECORDS[5:])), "own_then_stream": b"".join(map(warc.member, RECORDS[:5])) + gzip.compress(b"".join(RECORDS[5:])),
+}
+
+
+@pytest.mark.parametrize("form", FORMS)
+@pytest.mark.parametrize("read", [1 << 20, 50])
+def test_no_record_is_lost(form, read, monkeypatch):
+    """All records, some, and none, of archives of every form, with large and with tiny buffers."""
+    monkeypatch.setattr(warc, "READ", read)
+    monkeypatch.setattr(warc, "INFLATED", max(read >> 4, 100))
+    want = [(f"<urn:{k}>", r.split(b"\r\n\r\n", 1)[1][:-4]) for k, r in enumerate(RECORDS)]
+    for chosen in (range(8), [0, 4], [7], []):
+        names = {f"<urn:{k}>" for k in chosen}
+        got = [(f["warc-record-id"], b) for f, b in warc.records(io.BytesIO(FORMS[form]), lambda f, names=names: f["warc-record-id"] in names)]
+        assert got == [want[k] for k in chosen]
+    heads = [f["warc-record-id"] for f, b in warc.records(io.BytesIO(FORMS[form]), lambda f: True, with_payload=False)]
+    assert heads == [i for i, _ in want]
+
+
+def test_unwanted_payloads_are_not_held():
+    """Of a stream of 200 MB inflated, in one member, no more than small buffers are held, and so with payloads left out."""
+    big = warc.record("urn:big", "response", "u", b"x" * (100 << 20))
+    data = gzip.compress(big + big + warc.record("urn:small", "response", "u", b"y"), 1)
+    del big
+    for wanted, with_payload, n in ((lambda f: f["warc-record-id"] == "<urn:small>", True, 1), (lambda f: True, False, 3)):
+        tracemalloc.start()
+        assert len([f for f, _ in warc.records(io.BytesIO(data), wanted, with_payload)]) == n
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 8 << 20
+
+
+def test_archives_cut_short():
+    for form in ("plain", "member_each", "one_stream"):
+        with pytest.raises((ValueError, EOFError, zlib.error)):
+            list(warc.records(io.BytesIO(FORMS[form][:-100]), lambda f: True))
+
+
+def test_digests_and_sizes_of_other_writers(spark, tmp_path):
+    """Digests in hexadecimal, or of another kind; sizes with payloads left out are those with them."""
+    sha = hashlib.sha1(b"p" * 9000).hexdigest()
+    http = b"HTTP/1.1 200 OK\r\nX: y\r\n\r\n" + b"p" * 9000
+    recs = [b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <a%d>\r\nWARC-Payload-Digest: %s\r\nContent-Type: application/http\r\nContent-Length: %d\r\n\r\n" % (k, d, len(http)) + http + b"\r\n\r\n" for k, d in enumerate([b"SHA1:" + sha.encode(), b"md5:abc", b"sha1:no!"])]
+    recs.append(b"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <r>\r\nContent-Length: 70000\r\n\r\n" + b"z" * 70000 + b"\r\n\r\n")
+    (tmp_path / "x.warc.gz").write_bytes(gzip.compress(b"".join(recs)))
+    warc.register(spark)
+    for payload in ("true", "false"):
+        got = {r.record_id: r for r in spark.read.format("warc").option("payload", payload).load(str(tmp_path)).collect()}
+        assert {i: (r.payload_sha1, r.payload_bytes) for i, r in got.items()} == {"a0": (sha, 9000), "a1": (None, 9000), "a2": (None, 9000), "r": (None, 70000)}
+
+
+def test_a_payload_past_all_buffers(spark):
+    big = "long payload \u00e9 " * 400_000
+    read = warc.archive_and_read(spark, pages(spark, [(1, "u", big), (2, "u", big + "x")]))
+    got = {r.page_id: r for r in read.collect()}
+    assert all(bytes(got[i].payload) == t.encode() and got[i].payload_sha1 == hashlib.sha1(t.encode()).hexdigest() for i, t in ((1, big), (2, big + "x")))
+
+
 def test_predicates_are_pushed_down(spark, folder):
     df = spark.read.format("warc").load(folder)
     one = df.where((F.col("warc_type") == "response") & F.col("target_uri").startswith("http://h/4"))
