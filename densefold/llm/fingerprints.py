@@ -2,17 +2,20 @@
 
 Method: closed syncmers. Of all runs of K code points those are anchors whose least inner run of S (by hash) lies at one of
 the two edges. Whether a run is an anchor depends on its own code points alone, so an edit elsewhere neither adds nor removes
-anchors, and every stretch of unchanged text keeps its own. A fingerprint holds all anchors of a text (``SIZE`` None; a number would keep
-only so many of least hash), with the position of the first occurrence of each, so it grows with the text: some 2 anchors for 9 code points.
+anchors, and every stretch of unchanged text keeps its own. A fingerprint holds all anchors of a text, with the position of the first occurrence
+of each, so it grows with the text (some 2 anchors for 9 code points) and nothing is estimated.
 
 Likeness of two fingerprints: of the anchors of both together, the share that both have and that follow each other in the same order in
 both: the longest such chain, whatever the shifts in position along it, so text put in or taken out costs its own anchors only. That is the
 Jaccard similarity of the anchor sets, less anchors that only match out of place. Two empty
 fingerprints are alike (1.0); an empty and another one are not (0.0).
 
-As a string: 14 hexadecimal digits an anchor, 8 of its hash and 6 of its position (positions past 2^24 - 1 count as that), in order of
-hash. A text shorter than K code points but not empty has one anchor, the hash of the whole; the empty text and null have the empty
-string. Equal texts have equal fingerprints.
+As a string: 16 hexadecimal digits an anchor, 8 of its hash and 8 of its position, in order of hash; a position always fits, as no value of Spark's holds
+2^32 code points. A text shorter than K code points but not empty has one anchor, the hash of the whole; the empty text and null have the empty
+string. Equal texts have equal fingerprints. Long texts are worked on as a whole, some 100 bytes of memory for a code point.
+
+Rows with a null id are left out. Rows that repeat an id are documents of their own: of equal ids the one of the lesser text comes next, and rows that tie in both
+are alike, so their order doesn't matter. An empty table gives an empty table. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -24,14 +27,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from densefold.llm.common import Scratch, column, id_text, n_buckets, texts
+from densefold.llm.common import column, id_text, n_buckets, texts
 
-K, S, SIZE = 12, 4, None
-FAR = (1 << 24) - 1
-DIGITS = 14
+K, S = 12, 4
+DIGITS = 16
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _R = {m: np.uint64(pow(0x5851F42D4C957F2D, m, 1 << 64)) for m in (1, 2, 4)}
@@ -72,12 +74,13 @@ def fingerprint(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct hashes in order and the position of each one's first occurrence."""
     h, p = anchors(text)
     u, first = np.unique(h, return_index=True)
-    return u[:SIZE], np.minimum(p[first[:SIZE]], FAR)
+    return u, p[first]
 
 
 def as_bytes(f: tuple[np.ndarray, np.ndarray]) -> bytes:
-    """Seven bytes an anchor: four of its hash, three of its position."""
-    both = np.stack([f[0].astype(">u4").view(np.uint8).reshape(-1, 4)[:, k] for k in range(4)] + [f[1].astype(">u4").view(np.uint8).reshape(-1, 4)[:, k] for k in (1, 2, 3)], 1)
+    """Eight bytes an anchor: four of its hash, four of its position."""
+    both = np.empty((len(f[0]), 2), ">u4")
+    both[:, 0], both[:, 1] = f
     return both.tobytes()
 
 
@@ -86,8 +89,8 @@ def as_text(f: tuple[np.ndarray, np.ndarray]) -> str:
 
 
 def from_text(s: str) -> tuple[np.ndarray, np.ndarray]:
-    parts = [s[i : i + DIGITS] for i in range(0, len(s), DIGITS)]
-    return np.array([int(x[:8], 16) for x in parts], np.uint64), np.array([int(x[8:], 16) for x in parts], np.int64)
+    both = np.frombuffer(bytes.fromhex(s), ">u4").reshape(-1, 2)
+    return both[:, 0].astype(np.uint64), both[:, 1].astype(np.int64)
 
 
 def _in_order(p: np.ndarray, q: np.ndarray) -> int:
@@ -163,20 +166,12 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows that are missing, from the texts at the two ends of each bucket, in the order of the buckets and of the documents in them."""
+    """The rows that are missing: the last document of each bucket with the first text of the next one."""
 
     def rows() -> Iterator[tuple]:
-        head, held, prior = None, None, None
         for batch in batches:
-            for doc, bucket, text in zip(*(column(batch, c).to_pylist() for c in ("doc_id", "bucket", "text")), strict=True):
-                text = text or ""
-                mine = fingerprint(text)
-                head = head or (text, mine)
-                if held is not None and bucket != prior:
-                    yield _row(*held, text, mine)
-                held, prior = (doc, text, mine), bucket
-        if held is not None:
-            yield _row(*held, *head)
+            for doc, text, following in zip(*(column(batch, c).to_pylist() for c in ("doc_id", "text", "following")), strict=True):
+                yield _row(doc, text, fingerprint(text), following, fingerprint(following))
 
     return _in_batches(rows())
 
@@ -214,16 +209,20 @@ def with_next(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     The next document is the one of the next smaller doc_id, and for the smallest the greatest (of equal ids, the one of the lesser
     text is next). Texts are shuffled once, into ranges of doc_id; each partition is then one pass in order. The ranges are fixed
-    beforehand, so the documents at their ends are known and only those few texts are written and looked at again: fingerprints, which may
-    exceed the texts, go straight to the result.
+    beforehand, so the least and greatest id of each is known: those few texts are read again, and the two on either side of each border
+    meet in a row of their own, on as many tasks as there are borders. Fingerprints, which may exceed the texts, go straight to the result.
     """
-    work, n, given = Scratch(spark, "fingerprints"), n_buckets(spark, docs), id_text(docs)
+    n, given = n_buckets(spark, docs), id_text(docs)
     (cuts,) = given.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 10 * n)).first() if n > 1 else ([],)
     deal = _deal(np.unique(np.array(cuts or [], np.int64)))
+    # One row a bucket: its least id, and the greatest of the next bucket that isn't empty (behind the last: of the first).
     ids = given.select("doc_id").mapInArrow(deal, "bucket int, doc_id long").groupBy("bucket").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
-    ends = ids.select(F.explode(F.array_distinct(F.array("least", "most"))).alias("doc_id"))
-    ends = work.save(given.join(F.broadcast(ends), "doc_id").mapInArrow(deal, DEALT), "ends")
-    ends = ends.repartition(1).sortWithinPartitions("bucket", F.desc("doc_id"), F.desc("text")).mapInArrow(_edges, SCHEMA)
+    order = Window.orderBy("bucket")
+    borders = ids.select("bucket", "least", F.coalesce(F.lead("most").over(order), F.max("most").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("most"))
+    sides = borders.select("bucket", F.explode(F.array(F.struct(F.lit(True).alias("own"), F.col("least").alias("doc_id")), F.struct(F.lit(False).alias("own"), F.col("most").alias("doc_id")))).alias("side"))
+    read = given.join(sides.select("bucket", "side.*"), "doc_id").withColumn("text", F.coalesce("text", F.lit("")))
+    ends = read.groupBy("bucket").agg(F.min(F.when(F.col("own"), F.col("doc_id"))).alias("doc_id"), F.min(F.when(F.col("own"), F.col("text"))).alias("text"), F.max(F.when(~F.col("own"), F.col("text"))).alias("following"))
+    ends = ends.select("doc_id", "text", "following").mapInArrow(_edges, SCHEMA)
     dealt = given.mapInArrow(deal, DEALT).repartitionById(n, F.col("bucket")).sortWithinPartitions(F.desc("doc_id"), F.desc("text"))
     text = lambda c: F.lower(F.hex(c)).alias(c)
     out = dealt.mapInArrow(_neighbours, SCHEMA).unionByName(ends)
