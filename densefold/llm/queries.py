@@ -39,8 +39,8 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    work, index = tokenfile.write(spark, _table(spark, sf_dir, "documents"), _path(), end_id=0)
-    return tokenfile.digests(tokenfile.read(spark, work, index))
+    folder = tokenfile.write(spark, _table(spark, sf_dir, "documents"), _path(), end_id=0)
+    return tokenfile.digests(tokenfile.read(spark, folder))
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,11 +8,12 @@ little-endian throughout; the payload is the document's id (int64), the bytes an
 and the document's token ids. A mask turns the
 checksum by 15 bits and adds a constant, so that checksums of data that hold checksums stay good. Files go in ascending
 doc_id order, one for each range of ids. The index, a Parquet table, has file, offset and length of every
-record, for reads in any order.
+record, for reads in any order. Files and index lie in a folder of the caller's, which stays, or else in one that goes with the session.
 
 A task writes to a file of its own name and the index names the files of the tasks that ended well: a
-task that runs again leaves a file that nothing names. Null texts count as empty and hold the end id alone.
-Ids must be unique and not null (rows with a null id are left out); other columns are ignored.
+task that runs again leaves a file that nothing names. Null texts count as empty and hold the end id alone; a text of any length is one record.
+Rows with a null id are left out. Rows that repeat an id are records of their own, side by side in no particular order, the only tie there is. An empty table gives an index
+without rows and no files. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pfs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from densefold.llm.bpe import vocabulary, whole_encoder
@@ -119,11 +120,23 @@ def _write(uri: str, path: str, end_id: int):
     return run
 
 
-def write(spark: SparkSession, docs: DataFrame, path: str, end_id: int, work: Scratch | None = None) -> tuple[Scratch, DataFrame]:
-    """Write all documents; returns the folder and the index."""
-    work = work or Scratch(spark, "tokens")
+def write(spark: SparkSession, docs: DataFrame, path: str, end_id: int, folder: str | None = None) -> str:
+    """Write all documents and their index to a new folder (a full URI or a path that all machines share); returns the folder."""
+    if folder is None:
+        folder = Scratch(spark, "tokens").uri
+    else:
+        place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        fs.mkdirs(place)
+        folder = fs.makeQualified(place).toString()
     ordered = id_text(docs).repartitionByRange(n_buckets(spark, docs), "doc_id").sortWithinPartitions("doc_id")
-    return work, work.save(ordered.mapInArrow(_write(f"{work.uri}", path, end_id), INDEX), "index")
+    ordered.mapInArrow(_write(folder, path, end_id), INDEX).write.parquet(f"{folder}/index")
+    return folder
+
+
+def index(spark: SparkSession, folder: str) -> DataFrame:
+    """(shard, file, doc_id, offset, length, n_tokens) of every record."""
+    return spark.read.schema(INDEX).parquet(f"{folder}/index")
 
 
 def _read(uri: str):
@@ -153,14 +166,13 @@ def _read_batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "start", "ids"])
 
 
-def read(spark: SparkSession, work: Scratch, index: DataFrame) -> DataFrame:
+def read(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, start, ids) of every record, from the files: start counts the tokens of all documents before. One task a file."""
-    start, tasks = 0, []
-    for row in index.groupBy("shard", "file").agg(F.sum("n_tokens").alias("n")).orderBy("shard").collect():  # one row a file
-        tasks.append((row["shard"], row["file"], start))
-        start += row["n"]
-    files = spark.createDataFrame(tasks, "shard int, file string, start long").repartitionById(max(1, len(tasks)), "shard")
-    return files.mapInArrow(_read(work.uri), "doc_id long, start long, ids binary")
+    files = index(spark, folder).groupBy("shard", "file").agg(F.sum("n_tokens").alias("n"))
+    before = F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))  # over one row a file
+    starts = files.select("file", F.coalesce(before, F.lit(0)).alias("start"), (F.row_number().over(Window.orderBy("shard")) - 1).alias("place"))
+    dealt = starts.repartitionById(n_buckets(spark, index(spark, folder)), "place")
+    return dealt.mapInArrow(_read(folder), "doc_id long, start long, ids binary")
 
 
 def _fetch(uri: str):
@@ -180,10 +192,10 @@ def _fetch(uri: str):
     return run
 
 
-def fetch(work: Scratch, wanted: DataFrame) -> DataFrame:
+def fetch(folder: str, wanted: DataFrame) -> DataFrame:
     """(doc_id, ids) of chosen rows of the index, read at their offsets."""
     ordered = wanted.repartition("file").sortWithinPartitions("file", "offset")
-    return ordered.select("doc_id", "file", "offset", "length").mapInArrow(_fetch(work.uri), "doc_id long, ids binary")
+    return ordered.select("doc_id", "file", "offset", "length").mapInArrow(_fetch(folder), "doc_id long, ids binary")
 
 
 def digests(read_back: DataFrame) -> DataFrame:

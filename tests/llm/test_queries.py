@@ -6,10 +6,11 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
-from oracle import DATA, compare
+from oracle import DATA, compare, connect
 from tokenizers import Tokenizer
 
 from densefold.llm import fingerprints, queries
+from test_fingerprints import plain_fingerprint, plain_likeness, plain_text
 from test_licenses import plain_scan
 
 SF = f"{DATA}/sf0.001"
@@ -88,8 +89,17 @@ def test_op8(spark, ids):
 def test_op10(spark, docs):
     order = sorted(docs, reverse=True)
     got = {r.doc_id: r for r in rows(spark, "op10_fingerprints")}
+    sql = """WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n FROM documents),
+     e AS (SELECT *, coalesce(lag(t) OVER (ORDER BY doc_id), first_value(t) OVER (ORDER BY doc_id DESC)) AS f FROM d)
+     SELECT doc_id, n, sha256(left(t, n - n // 2) || left(f, n // 2)) FROM e"""
+    assert {i: (r.n_chars, r.edited_sha256) for i, r in got.items()} == {i: (n, h) for i, n, h in connect(SF).execute(sql).fetchall()}
+    plain = {i: plain_fingerprint(t) for i, t in docs.items()}
     for k, i in enumerate(order):
-        e = fingerprints.edited(docs[i], docs[order[(k + 1) % len(order)]])
-        assert (got[i].n_chars, got[i].edited_sha256, got[i].fingerprint) == (len(docs[i]), hashlib.sha256(e.encode()).hexdigest(), fingerprints.as_text(fingerprints.fingerprint(docs[i])))
+        following = order[(k + 1) % len(order)]
+        changed = plain_fingerprint(fingerprints.edited(docs[i], docs[following]))
+        assert (got[i].fingerprint, got[i].edited_fingerprint) == (plain_text(plain[i]), plain_text(changed))
+        for near, other in ((got[i].near_edited, changed), (got[i].near_next, plain[following])):
+            want = plain_likeness(plain[i], other)
+            assert want is None or near == want
     long = [r for r in got.values() if r.n_chars >= 200]
     assert sum(r.near_edited > r.near_next for r in long) >= 0.99 * len(long)
