@@ -26,6 +26,7 @@ null id are left out). Other columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +40,8 @@ from densefold.llm.common import PACKED, Scratch, column, components, id_text, n
 _hash = xxhash.xxh3_64_intdigest
 #: Counters of the frequency table (two bytes each while counting, one afterwards: 2 MB are broadcast, whatever the input).
 COUNTERS = 1 << 21
-SLICES = 16
+#: Tables of fixed size travel from each task in so many compressed slices, which as many tasks add up.
+SLICES = 64
 #: Bits of the filter over candidate ids (2 MB broadcast). Past some millions of candidates it lets more texts be parsed than needed; results don't change.
 FILTER_BITS = 24
 ENTRY = np.dtype([("token", "<u8"), ("prev", "<u8"), ("doc", "<i8"), ("n", "<i4"), ("pos", "<i4")])
@@ -49,22 +51,30 @@ RANKS = (1, 8, 64, 512)
 HELD = 300_000
 
 
+_TIMES = np.uint64(0x9E3779B97F4A7C15)
+
+
 def shingles(text: str | None, words: int) -> np.ndarray:
     """Sorted distinct hashes of all runs of so many words; a shorter text is one run; no words, no hashes.
 
-    Words are split at ASCII white space and only A-Z are lowered, which is what bytes methods do.
+    Words are split at ASCII white space and only A-Z are lowered, which is what bytes methods do. The hash of a run is made of those of its
+    words in their order, and of how many they are.
     """
     w = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not w:
         return np.zeros(0, np.uint64)
-    joined = b" ".join(w)
-    if len(w) <= words:
-        return np.array([_hash(joined)], np.uint64)
-    size = np.fromiter(map(len, w), np.int64, len(w))
-    end = np.cumsum(size + 1) - 1
-    start = (end - size)[: len(w) - words + 1].tolist()
-    end = end[words - 1 :].tolist()
-    return np.unique(np.fromiter([_hash(joined[a:b]) for a, b in zip(start, end, strict=True)], np.uint64, len(start)))
+    each = np.fromiter(map(_hash, w), np.uint64, len(w))
+    k = min(words, len(w))
+    runs = len(w) - k + 1
+    h = np.full(runs, k, np.uint64)
+    for i in range(k):
+        h = (h ^ each[i : i + runs]) * _TIMES
+        h ^= h >> np.uint64(29)
+    h.sort()
+    new = np.empty(runs, bool)
+    new[0] = True
+    np.not_equal(h[1:], h[:-1], out=new[1:])
+    return h[new]
 
 
 def signature(tokens: np.ndarray) -> bytes:
@@ -74,13 +84,20 @@ def signature(tokens: np.ndarray) -> bytes:
     return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
-def differing(a: bytes, b: bytes) -> int:
-    """Bits in which two signatures differ, the longer one folded to the length of the shorter: at most the tokens that only one set has."""
-    x, y = (np.frombuffer(s, np.uint8) for s in (a, b))
-    while len(x) != len(y):
-        x, y = (x, y) if len(x) < len(y) else (y, x)
-        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
-    return int(np.bitwise_count(x ^ y).sum())
+def differing(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """Bits in which the signatures of each pair differ, the longer one folded to the length of the shorter: at most the tokens that only one set has."""
+    m, n = (np.fromiter(map(len, s), np.int64, len(s)) for s in (a, b))
+    out = np.zeros(len(a), np.int64)
+    kind = m * (1 << 20) + n
+    for k in np.unique(kind).tolist():
+        rows = np.flatnonzero(kind == k)
+        x, y = (np.frombuffer(b"".join([s[i] for i in rows.tolist()]), np.uint8).reshape(len(rows), -1) for s in (a, b))
+        while x.shape[1] != y.shape[1]:
+            x, y = (x, y) if x.shape[1] < y.shape[1] else (y, x)
+            half = y.shape[1] // 2
+            y = y[:, :half] ^ y[:, half:]
+        out[rows] = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+    return out
 
 
 def _counter_of(tokens: np.ndarray) -> np.ndarray:
@@ -113,7 +130,7 @@ def _count(words: int):
                 yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(sizes, pa.int64()), pa.nulls(n, pa.int32()), pa.array(signs, pa.binary())], schema=schema)
         if total.any():
             parts = np.minimum(total, 65535).astype("<u2").reshape(SLICES, -1)
-            yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.array(range(SLICES), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.array(range(SLICES), pa.int32()), pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary())], schema=schema)
 
     return run
 
@@ -125,7 +142,7 @@ def _merge(least: float):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, blob in zip(column(batch, "slice").to_pylist(), column(batch, "blob"), strict=True):
-                part = np.frombuffer(blob.as_buffer(), "<u2").astype(np.int64)
+                part = np.frombuffer(zlib.decompress(blob.as_buffer()), "<u2").astype(np.int64)
                 sums[k] = sums[k] + part if k in sums else part
         for k, s in sums.items():
             kind = np.where(s > least, np.log2(np.maximum(s, 1)).astype(np.uint8), 0).astype(np.uint8)
@@ -255,18 +272,24 @@ def _filter_bit(ids: np.ndarray) -> np.ndarray:
 
 
 def _id_filter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The slices that a task has ids in."""
     bits = np.zeros(1 << FILTER_BITS, bool)
     for batch in batches:
         bits[_filter_bit(batch.column(0).to_numpy(zero_copy_only=False))] = True
-    yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], ["blob"])
+    parts = np.packbits(bits).reshape(SLICES, -1)
+    some = np.flatnonzero(parts.any(axis=1))
+    if len(some):
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([zlib.compress(parts[k].tobytes(), 1) for k in some], pa.binary())], ["slice", "blob"])
 
 
 def _or(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    bits = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
+    found: dict[int, np.ndarray] = {}
     for batch in batches:
-        for blob in batch.column(0):
-            bits |= np.frombuffer(blob.as_buffer(), np.uint8)
-    yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()], pa.binary())], ["blob"])
+        for k, blob in zip(column(batch, "slice").to_pylist(), column(batch, "blob"), strict=True):
+            part = np.frombuffer(zlib.decompress(blob.as_buffer()), np.uint8)
+            found[k] = found[k] | part if k in found else part
+    for k, part in found.items():
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["slice", "blob"])
 
 
 def _sets(words: int, bits):
@@ -299,7 +322,7 @@ def _possible(num: int, den: int, also: list[str] = ()):
         for batch in batches:
             total = column(batch, "na").to_numpy() + column(batch, "nb").to_numpy()
             room = total - 2 * -(-num * total // (num + den))
-            apart = np.fromiter(map(differing, column(batch, "xa").to_pylist(), column(batch, "xb").to_pylist()), np.int64, batch.num_rows)
+            apart = differing(column(batch, "xa").to_pylist(), column(batch, "xb").to_pylist())
             yield batch.filter(pa.array(apart <= room)).select(["a", "b", *also])
 
     return run
@@ -312,7 +335,8 @@ def _verify(num: int, den: int):
             both = []
             for x, y in zip(column(batch, "sa"), column(batch, "sb"), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
-                both.append((len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)))
+                at = np.minimum(np.searchsorted(x, y), len(x) - 1)  # both ascend
+                both.append((int((x[at] == y).sum()), len(x), len(y)))
             m = np.array(both, np.int64).reshape(-1, 3)
             yield pa.RecordBatch.from_arrays([a, b, pa.array(m[:, 0]), pa.array(m[:, 1]), pa.array(m[:, 2]), pa.array(den * m[:, 0] >= num * (m[:, 1] + m[:, 2] - m[:, 0]))], ["a", "b", "both", "na", "nb", "linked"])
 
@@ -357,8 +381,11 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, words: int = 5, num
         return two.select(F.col("a").alias("id")).unionByName(two.select(F.col("b").alias("id")))
 
     def id_filter(ids: DataFrame):
-        parts = ids.coalesce(8).mapInArrow(_id_filter, "blob binary").repartition(1)
-        return spark.sparkContext.broadcast(np.frombuffer(parts.mapInArrow(_or, "blob binary").first()["blob"], np.uint8))
+        bits = np.zeros((SLICES, (1 << FILTER_BITS) // 8 // SLICES), np.uint8)
+        parts = ids.mapInArrow(_id_filter, "slice int, blob binary").repartitionById(SLICES, "slice")
+        for row in parts.mapInArrow(_or, "slice int, blob binary").collect():
+            bits[row["slice"]] = np.frombuffer(row["blob"], np.uint8)
+        return spark.sparkContext.broadcast(bits.reshape(-1))
 
     sets = work.save(docs.mapInArrow(_sets(words, id_filter(ends(pairs).unionByName(ends(others)).unionByName(long.select(F.col("doc").alias("id"))))), "id long, tokens binary"), "sets")
 

@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 import pytest
-from helpers import as_rows, documents, near_copies, plain_components, words
+from helpers import as_rows, documents, near_copies, plain_components, plain_shingles, words
 
 from densefold.llm import jaccard
 
@@ -37,11 +37,29 @@ def test_empty_table_and_keep_first(spark):
 
 
 def test_signatures_bound_the_difference():
-    rng = np.random.default_rng(1)
+    rng, pairs = np.random.default_rng(1), []
     for _ in range(200):
         a, b = (np.unique(rng.integers(0, 2**63, rng.integers(1, 700)).astype(np.uint64)) for _ in "ab")
         b = np.unique(np.concatenate([b[:50], a[: rng.integers(0, len(a) + 1)]]))
-        assert jaccard.differing(jaccard.signature(a), jaccard.signature(b)) <= len(np.setxor1d(a, b))
+        pairs.append((a, b))
+    apart = jaccard.differing(*([jaccard.signature(p[k]) for p in pairs] for k in (0, 1)))
+    assert len(set(map(len, (jaccard.signature(a) for a, _ in pairs)))) > 3
+    assert all(d <= len(np.setxor1d(a, b)) for d, (a, b) in zip(apart.tolist(), pairs, strict=True)) and (apart > 0).any()
+    assert jaccard.differing([], []).tolist() == []
+
+
+def test_sets_are_those_of_word_runs():
+    """As many hashes as there are distinct runs, the same for the same runs, and none of different lengths or orders alike."""
+    rng = random.Random(5)
+    texts = [t for _, t in near_copies()] + ["a b", "b a", "a", "a a a a", "ab", "A\tB\x0bc\x0cD \x85 x", "a\u00a0b c d e"] + [" ".join(words(rng, 300)) for _ in range(20)]
+    by = {}
+    for t in texts:
+        for k in (1, 4, 5):
+            runs, hashes = plain_shingles(t, k), jaccard.shingles(t, k)
+            assert len(runs) == len(hashes) and (np.diff(hashes.astype(object)) > 0).all()
+            by.setdefault(frozenset(runs), set()).add(tuple(hashes.tolist()))
+    assert all(len(x) == 1 for x in by.values())
+    assert len({tuple(x) for x in by.values()}) == len(by)
 
 
 def test_bad_similarity(spark):
