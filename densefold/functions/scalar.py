@@ -2,12 +2,36 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from string import Formatter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from densefold import model
 
 
+def beside(df: DataFrame, given: dict[str, Column], work: Callable[[DataFrame], DataFrame], out: dict[str, str]) -> DataFrame:
+    """Run ``work`` on a frame of the columns ``given`` and add those of its columns that ``out`` names, under its names.
+
+    The frame's own columns go along under neutral names, so that none can meet one that is used inside; a column of a name in ``out`` is replaced.
+    """
+    kept = {f"_kept{k}": c for k, c in enumerate(df.columns) if c not in out.values()}
+    done = work(df.select(*[F.col(f"`{c}`").alias(k) for k, c in kept.items()], *[c.alias(k) for k, c in given.items()]))
+    return done.select(*[F.col(k).alias(c) for k, c in kept.items()], *[F.col(k).alias(c) for k, c in out.items()])
+
+
+def filled(template: str, **values: Column) -> Column:
+    """A template with named gaps, filled with columns."""
+    parts = []
+    for text, name, _, _ in Formatter().parse(template):
+        if text:
+            parts.append(F.lit(text))
+        if name:
+            parts.append(values[name].cast("string"))
+    return F.concat(*parts)
+
+
 def apart(df: DataFrame, **cols: Column) -> DataFrame:
     """Add columns behind a one-row generator.
 

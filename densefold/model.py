@@ -20,6 +20,14 @@ MIN_PREFIX_LINES = 8
 MIN_PREFIX_BYTES = 12
 BLOB_CHARS = 1024
 JSON_DEPTH = 8
+# The wording of the report and of the answer to an unknown command.
+REPORT_NONE = "densefold — no compressions yet"
+REPORT_HEAD = "densefold — context saved"
+REPORT_TOTAL = "   {saved} saved across {calls} tool call{s}  ({pct}% avg reduction)"
+REPORT_RULE = "   ───────────────────────────────"
+REPORT_ROW = "   {label}  -{pct}%   ({calls} call{s}, {saved})"
+UNKNOWN_COMMAND = "densefold: unknown command '{command}'"
+BAD_FRAME = "bad frame: {error}; going on with the next one"
 CODES = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
 
 
@@ -52,9 +60,16 @@ _registry: dict[str, Layout] = {x.label: x for x in (LS, PS, GIT_LOG)}
 
 
 def register(layout: Layout) -> None:
-    """Add a layout; from then on dispatch, fold and report know its label."""
+    """Add a layout; from then on dispatch, fold and report know its label.
+
+    What is folded must unfold again: a delimiter is one character, and none that codes, white space or the marks of the wire format need.
+    """
     if not layout.cols:
         raise ValueError("a layout needs at least one fixed column")
+    if layout.delim is not None and (len(layout.delim) != 1 or layout.delim.isspace() or layout.delim.isalnum() or layout.delim in "=@"):
+        raise ValueError("a delimiter must be one character, and no letter, digit, white space, '=' or '@'")
+    if any(not c or "=" in c or any(x.isspace() for x in c) or (layout.delim or " ") in c for c in (*layout.cols, layout.tail)):
+        raise ValueError("names of columns can't be empty or hold white space, '=' or the delimiter")
     _registry[layout.label] = layout
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from densefold import model
-from densefold.functions.scalar import apart, lines_of
+from densefold.functions.scalar import apart, beside, lines_of
 
 WS = r"(?U)\s+"
 
@@ -81,15 +81,19 @@ def fold(df: DataFrame, text: str, label: str, out: str) -> DataFrame:
     ``label`` names the column with the layout's label (null: no layout). Any line that is
     empty or short, or fewer than four lines, leaves the whole blob alone.
     """
+    return beside(df, {"_text": F.col(text), "_label": F.col(label)}, _fold, {"_done": out})
+
+
+def _fold(df: DataFrame) -> DataFrame:
     drop: list[str] = []
-    lab = F.col(label)
+    lab = F.col("_label")
     df = _let(
         df, drop,
         _n=_by_layout(lab, lambda x: F.lit(len(x.cols)), "int"),
         _sep=_by_layout(lab, lambda x: F.lit(x.sep), "string"),
         _names=_by_layout(lab, lambda x: F.array(*map(F.lit, x.cols)), "array<string>"),
         _tail=_by_layout(lab, lambda x: F.lit(x.tail), "string"),
-        _ln=F.when(lab.isNotNull(), lines_of(F.col(text))),
+        _ln=F.when(lab.isNotNull(), lines_of(F.col("_text"))),
     )
     total = F.startswith(F.get("_ln", F.lit(0)), F.lit("total "))
     df = _let(df, drop, _skip=_by_layout(lab, lambda x: F.when(F.size("_ln") > 0, F.lit(1) if x.header_line else F.when(total, 1).otherwise(0) if x.total_line else F.lit(0)).otherwise(0), "int"))
@@ -101,12 +105,14 @@ def fold(df: DataFrame, text: str, label: str, out: str) -> DataFrame:
     df = _let(df, drop, _vals=F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda i: F.transform("_fit", lambda r: F.get(r, i))))
     df = _let(df, drop, _dist=F.transform("_vals", lambda v: F.array_distinct(v)))
 
+    # A value with the separator in it couldn't be told from two in a header or table; fields are split at it, so no layout gives one.
+    unsafe = lambda x: F.contains(x, F.col("_sep")) | F.contains(x, F.lit("\n"))
     total_bytes = lambda a, more: F.aggregate(a, F.lit(0).cast("bigint"), lambda s, v: s + F.octet_length(v) + more)
     df = _let(
         df, drop,
         _enc=F.zip_with(
             "_vals", "_dist",
-            lambda v, d: F.when(F.size(d) == 1, "C").when((F.size(d) <= len(model.CODES)) & (F.size(v) + total_bytes(d, 3) < total_bytes(v, 0)), "D").otherwise("P"),
+            lambda v, d: F.when(F.exists(d, unsafe), "P").when(F.size(d) == 1, "C").when((F.size(d) <= len(model.CODES)) & (F.size(v) + total_bytes(d, 3) < total_bytes(v, 0)), "D").otherwise("P"),
         ),
     )
     sep, at = F.col("_sep"), lambda a, i: F.get(F.col(a), i)
@@ -134,7 +140,7 @@ def fold(df: DataFrame, text: str, label: str, out: str) -> DataFrame:
         F.array_join(F.transform("_fit", row), "\n"),
     )
     df = _let(df, drop, _folded=folded)
-    return apart(df, **{out: F.when(F.octet_length("_folded") < F.octet_length(text), F.col("_folded"))}).drop(*drop)
+    return apart(df, _done=F.when(F.octet_length("_folded") < F.octet_length("_text"), F.col("_folded"))).drop(*drop)
 
 
 def unfold(df: DataFrame, text: str, out: str) -> DataFrame:
@@ -142,8 +148,12 @@ def unfold(df: DataFrame, text: str, out: str) -> DataFrame:
 
     A provenance line is dropped first, and a row may lack its tail: rows whose tail was empty decode too.
     """
+    return beside(df, {"_text": F.col(text)}, _unfold, {"_done": out})
+
+
+def _unfold(df: DataFrame) -> DataFrame:
     drop: list[str] = []
-    ln = lines_of(F.regexp_replace(text, r"\A\[\Q" + model.VERSION + r"\E [^\n]*\]\n", ""))
+    ln = lines_of(F.regexp_replace("_text", r"\A\[\Q" + model.VERSION + r"\E [^\n]*\]\n", ""))
     df = _let(df, drop, _all=ln)
     declared = F.filter("_all", lambda x: F.startswith(x, F.lit(model.MARK_DELIM)))
     first = F.substr(F.regexp_replace(F.substr(F.get(declared, F.size(declared) - 1), F.lit(len(model.MARK_DELIM) + 1)), r"(?U)\A\s+", ""), F.lit(1), F.lit(1))
@@ -198,4 +208,4 @@ def unfold(df: DataFrame, text: str, out: str) -> DataFrame:
     text_rows = F.transform(F.when(good, F.col("_rows")), lambda r: join(F.concat(F.transform("_fix", lambda c, i: cell(r, c, i)), tail(r))))
     df = _let(df, drop, _out=F.array_join(text_rows, "\n"))
     pre = F.when(F.size("_pre") > 0, F.concat(F.get("_pre", F.size("_pre") - 1), F.lit("\n"))).otherwise(F.lit(""))
-    return apart(df, **{out: F.when(F.col("_h").isNotNull(), F.concat(pre, F.col("_out")))}).drop(*drop)
+    return apart(df, _done=F.when(F.col("_h").isNotNull(), F.concat(pre, F.col("_out")))).drop(*drop)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from densefold import model
-from densefold.functions.scalar import apart, csv_cell
+from densefold.functions.scalar import apart, beside, csv_cell
 
 _STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false", "mode": "PERMISSIVE"}
 
@@ -38,12 +38,16 @@ def columns_of(rows: Column) -> Column:
 
 def fold_rows(df: DataFrame, text: str, out: str) -> DataFrame:
     """Add ``out``: the table of a top-level array of objects, or null."""
-    df = df.withColumn("_rows", F.when(F.startswith(F.regexp_replace(text, r"(?U)\A\s+", ""), F.lit("[")), parse_rows(F.col(text))))
+    return beside(df, {"_text": F.col(text)}, _fold_rows, {"_done": out})
+
+
+def _fold_rows(df: DataFrame) -> DataFrame:
+    df = df.withColumn("_rows", F.when(F.startswith(F.regexp_replace("_text", r"(?U)\A\s+", ""), F.lit("[")), parse_rows(F.col("_text"))))
     df = df.withColumn("_cols", columns_of(F.col("_rows")))
     line = lambda cells: F.array_join(F.transform(cells, csv_cell), ",")
     body = F.transform("_rows", lambda m: line(F.transform("_cols", lambda c: F.coalesce(F.try_element_at(m, c), F.lit("")))))
     table = F.concat(F.lit(model.MARK_TABLE + " "), F.size("_rows").cast("string"), F.lit(" rows\n"), line(F.col("_cols")), F.lit("\n"), F.array_join(body, "\n"))
-    return apart(df, **{out: F.when(F.size("_cols") > 0, table)}).drop("_rows", "_cols")
+    return apart(df, _done=F.when(F.size("_cols") > 0, table)).drop("_rows", "_cols")
 
 
 def _no(name: str):
@@ -130,7 +134,8 @@ def fold_nested(df: DataFrame, text: str, out: str) -> DataFrame:
 
 def fold(df: DataFrame, text: str, out: str, nested: bool = True) -> DataFrame:
     """Add ``out``: the folded JSON, or null."""
-    df = fold_rows(df, text, out)
-    if nested:
-        df = fold_nested(df, text, "_nested").withColumn(out, F.coalesce(out, "_nested")).drop("_nested")
-    return df
+    def work(d: DataFrame) -> DataFrame:
+        d = fold_rows(d, "_given", "_top")
+        return fold_nested(d, "_given", "_nested").withColumn("_top", F.coalesce("_top", "_nested")) if nested else d
+
+    return beside(df, {"_given": F.col(text)}, work, {"_top": out})

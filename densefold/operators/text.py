@@ -17,10 +17,13 @@ ANSI = r"\x1b\[[^@-~]*[@-~]?|\x1b\](?s:.*?)(?:\x07|\x1b\\|\z)|\x1b(?s:.)?"
 TRAILING = r"(?U)(?<![\s&&[^\n]])[\s&&[^\n]]++(?=\n|\z)"
 LONG_RUN = "(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/=_-]{%d,}+" % (model.BLOB_CHARS + 1)
 
+#: A line that is the same as the one before it; a carriage return before a line's end is no part of it.
+TWICE = r"(?:\A|\n)([^\n]*?)\r?\n\1\r?(?:\n|\z)"
+
 
 def strip_ansi(df: DataFrame, col: str) -> DataFrame:
     """Drop terminal escape sequences; an unterminated one goes to the end of the text."""
-    return df.withColumn(col, F.regexp_replace(col, ANSI, ""))
+    return df.withColumn(col, F.when(F.contains(col, F.lit("\x1b")), F.regexp_replace(col, ANSI, "")).otherwise(F.col(col)))
 
 
 def rstrip_lines(df: DataFrame, col: str) -> DataFrame:
@@ -30,18 +33,20 @@ def rstrip_lines(df: DataFrame, col: str) -> DataFrame:
 
 def collapse_blank_runs(df: DataFrame, col: str) -> DataFrame:
     """Two or more empty lines in a row become one."""
-    lf = F.regexp_replace(col, "\r\n", "\n")
-    return df.withColumn(col, F.regexp_replace(F.regexp_replace(lf, r"\A\n{2,}", "\n"), r"\n{3,}", "\n\n"))
+    df = df.withColumn(col, F.replace(F.col(col), F.lit("\r\n"), F.lit("\n")))
+    once = F.regexp_replace(F.regexp_replace(col, r"\A\n{2,}", "\n"), r"\n{3,}", "\n\n")
+    return df.withColumn(col, F.when(F.contains(col, F.lit("\n\n")), once).otherwise(F.col(col)))
 
 
 def collapse_dup_runs(df: DataFrame, col: str) -> DataFrame:
     """A line that repeats n times in a row becomes ``line (×n)``; lines that end so already stay as they are."""
     ln, at = f"__{col}_lines", f"__{col}_starts"
-    out = df.withColumn(ln, lines_of(F.col(col)))
+    # Most texts have no such line: they are told by one search, and need no array of lines.
+    out = df.withColumn(ln, F.when(F.rlike(F.col(col), F.lit(TWICE)), lines_of(F.col(col))))
     out = out.withColumn(
         at,
-        F.when(F.size(ln) == 0, F.array().cast("array<int>")).otherwise(
-            F.filter(F.sequence(F.lit(0), F.size(ln) - 1), lambda i: (i == 0) | (F.get(F.col(ln), i) != F.get(F.col(ln), F.when(i > 0, i - 1).otherwise(i))))
+        F.when(
+            F.size(ln) > 0, F.filter(F.sequence(F.lit(0), F.size(ln) - 1), lambda i: (i == 0) | (F.get(F.col(ln), i) != F.get(F.col(ln), F.when(i > 0, i - 1).otherwise(i))))
         ),
     )
 
@@ -51,7 +56,8 @@ def collapse_dup_runs(df: DataFrame, col: str) -> DataFrame:
         again = F.array_join(F.array_repeat(line, n), "\n")
         return F.when((n > 1) & ~has_repeat_suffix(line), F.concat(line, F.lit(" (×"), n.cast("string"), F.lit(")"))).otherwise(again)
 
-    return out.withColumn(col, F.concat(F.array_join(F.transform(at, run), "\n"), final_newline(F.col(col)))).drop(ln, at)
+    marked = F.concat(F.array_join(F.transform(at, run), "\n"), final_newline(F.col(col)))
+    return out.withColumn(col, F.when(F.col(ln).isNotNull(), marked).otherwise(F.replace(F.col(col), F.lit("\r\n"), F.lit("\n")))).drop(ln, at)
 
 
 def elide_blobs(df: DataFrame, col: str) -> DataFrame:
@@ -59,7 +65,8 @@ def elide_blobs(df: DataFrame, col: str) -> DataFrame:
     kept = F.split(F.col(col), LONG_RUN, -1)
     runs = F.regexp_extract_all(F.col(col), F.lit(LONG_RUN), F.lit(0))
     note = lambda r: F.concat(F.lit(f"[{model.MARK_BLOB} "), F.length(r).cast("string"), F.lit(" chars]"))
-    return df.withColumn(col, F.when(F.col(col).isNotNull(), F.array_join(F.zip_with(kept, runs, lambda k, r: F.concat(k, F.coalesce(note(r), F.lit("")))), "")))
+    some = (F.octet_length(col) > model.BLOB_CHARS) & F.rlike(F.col(col), F.lit(LONG_RUN))
+    return df.withColumn(col, F.when(some, F.array_join(F.zip_with(kept, runs, lambda k, r: F.concat(k, F.coalesce(note(r), F.lit("")))), "")).otherwise(F.col(col)))
 
 
 def fold_common_prefix(df: DataFrame, col: str) -> DataFrame:
@@ -68,7 +75,8 @@ def fold_common_prefix(df: DataFrame, col: str) -> DataFrame:
     The longest common prefix of a set is that of its least and greatest member.
     """
     ln, px, out_col = f"__{col}_lines", f"__{col}_prefix", f"__{col}_out"
-    out = df.withColumn(ln, lines_of(F.col(col)))
+    # A prefix ends with a slash of the first line, empty lines apart; without one nothing is split.
+    out = df.withColumn(ln, F.when(F.contains(F.substring_index(F.regexp_replace(col, r"\A[\r\n]+", ""), "\n", 1), F.lit("/")), lines_of(F.col(col))))
     full = F.filter(F.col(ln), lambda x: x != "")
     least, most = F.array_min(full), F.array_max(full)
     parts = F.split(least, "/", -1)

@@ -1,7 +1,7 @@
 """Whole sessions of messages as tables: what each message is answered with.
 
 Input is what the frames source reads: (session, frame_no, id, method, params, error). A session ends with its first ``shutdown``.
-Tool calls are folded as anywhere else; a report covers the wins of its own session so far. Bad frames are answered with nothing.
+Tool calls are folded as anywhere else; a report covers the wins of its own session so far. Bad frames are answered with nothing; ``log`` says what is wrong with them.
 """
 
 from __future__ import annotations
@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from densefold.functions.scalar import human_bytes, percent_saved
+from densefold import model
+from densefold.functions.scalar import filled, percent_saved
 from densefold.plans import stats
 from densefold.plans.compress import compress
 from densefold.sources import events
@@ -26,7 +27,7 @@ def _hooks(messages: DataFrame) -> DataFrame:
     text = F.when(F.get_json_object("params", "$.tool_output").isNotNull() & _is_text("tool_output"), F.col("p.tool_output"))
     command = F.coalesce(F.get_json_object("p.tool_input", "$.command"), F.lit(""))
     blobs = p.select(*KEY, "id", F.coalesce("p.kind", F.lit("")).alias("kind"), F.coalesce("p.tool_name", F.lit("")).alias("tool_name"), command.alias("command"), text.alias("output"))
-    return compress(blobs.where(F.col("output").isNull() | (F.octet_length("output") <= events.MAX_BYTES)))
+    return compress(blobs.withColumn("output", F.when(F.octet_length("output") <= events.MAX_BYTES, F.col("output"))))
 
 
 def _is_text(name: str) -> Column:
@@ -36,20 +37,26 @@ def _is_text(name: str) -> Column:
 
 
 def reports(wins: DataFrame, asked: DataFrame) -> DataFrame:
-    """(session, frame_no, report): for each asked message, the report over the wins of its session before it."""
-    before = wins.select("session", F.col("frame_no").alias("won_at"), "label", "in_bytes", "out_bytes")
-    per = asked.select(*KEY).join(before, "session").where("won_at < frame_no").groupBy(*KEY, "label").agg(F.count(F.lit(1)).alias("calls"), F.sum("in_bytes").alias("i"), F.sum("out_bytes").alias("o"))
-    per = per.withColumn("saved", F.greatest(F.col("i") - F.col("o"), F.lit(0)).cast("bigint")).withColumn("pct", percent_saved(F.col("i"), F.col("o")))
-    rows = F.array_sort(F.collect_list(F.struct((-F.col("saved")).alias("order"), "label", "calls", "saved", "pct")))
+    """(session, frame_no, report): for each asked message, the report over the wins of its session before it.
+
+    Running totals by session and label: a win is looked at once, however many reports follow it. A report meets one row for each label of its session.
+    """
+    c = F.col
+    sums = wins.select("session", "label", "frame_no", F.lit(1).alias("calls"), c("in_bytes").alias("i"), c("out_bytes").alias("o"), F.lit(False).alias("ask"))
+    asks = asked.select(*KEY).join(wins.select("session", "label").distinct(), "session").select("session", "label", "frame_no", F.lit(0).alias("calls"), F.lit(0).alias("i"), F.lit(0).alias("o"), F.lit(True).alias("ask"))
+    so_far = Window.partitionBy("session", "label").orderBy("frame_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    per = sums.unionByName(asks).select("session", "label", "frame_no", "ask", *[F.sum(x).over(so_far).alias(x) for x in ("calls", "i", "o")]).where("ask AND calls > 0")
+    per = per.withColumn("saved", F.greatest(c("i") - c("o"), F.lit(0)).cast("bigint")).withColumn("pct", percent_saved(c("i"), c("o")))
+    rows = F.array_sort(F.collect_list(F.struct((-c("saved")).alias("order"), "label", "calls", "saved", "pct")))
     all_ = per.groupBy(*KEY).agg(rows.alias("rows"), F.sum("calls").alias("calls"), F.sum("i").alias("i"), F.sum("o").alias("o"), F.max(F.octet_length("label")).alias("w"))
-    all_ = all_.withColumn("saved", (F.col("i") - F.col("o")).cast("bigint")).withColumn("pct", percent_saved(F.col("i"), F.col("o")))
-    s = lambda n: F.when(n == 1, "").otherwise("s")
-    line = lambda r: F.concat(
-        F.lit("   "), F.rpad(r["label"], F.greatest(F.col("w"), F.lit(4)), F.lit(" ")), F.lit("  -"), F.when(r["pct"] < 10, " ").otherwise(""), r["pct"].cast("string"), F.lit("%   ("),
-        r["calls"].cast("string"), F.lit(" call"), s(r["calls"]), F.lit(", "), human_bytes(r["saved"]), F.lit(")"),
-    )
-    head = F.concat(F.lit("densefold — context saved\n   "), human_bytes(F.col("saved")), F.lit(" saved across "), F.col("calls").cast("string"), F.lit(" tool call"), s(F.col("calls")), F.lit("  ("), F.col("pct").cast("string"), F.lit("% avg reduction)\n   " + "─" * 31 + "\n"))
-    return all_.select(*KEY, F.concat(head, F.array_join(F.transform("rows", line), "\n")).alias("report"))
+    lines = F.transform("rows", lambda r: stats.label_line(r["label"], c("w"), r["calls"], r["saved"], r["pct"]))
+    head = F.array(F.lit(model.REPORT_HEAD), stats.total_line(c("calls"), (c("i") - c("o")).cast("bigint"), percent_saved(c("i"), c("o"))), F.lit(model.REPORT_RULE))
+    return all_.select(*KEY, F.array_join(F.concat(head, lines), "\n").alias("report"))
+
+
+def log(messages: DataFrame) -> DataFrame:
+    """(session, frame_no, line): what is to be said of frames that are no messages. They get no answer, and the ones behind them are read on."""
+    return messages.where("error IS NOT NULL").select(*KEY, filled(model.BAD_FRAME, error=F.col("error")).alias("line"))
 
 
 def _json(text: Column) -> Column:
@@ -69,7 +76,7 @@ def answers(messages: DataFrame) -> DataFrame:
 
     asked = live.where("method = 'command.invoke'").withColumn("command", F.coalesce(F.get_json_object("params", "$.command"), F.lit(""))).withColumn("request", F.coalesce(F.get_json_object("params", "$.request_id"), F.lit("")))
     known = F.col("command").isin(*COMMANDS)
-    text = F.when(known, F.coalesce("report", F.lit("densefold — no compressions yet"))).otherwise(F.concat(F.lit("densefold: unknown command '"), F.col("command"), F.lit("'")))
+    text = F.when(known, F.coalesce("report", F.lit(model.REPORT_NONE))).otherwise(filled(model.UNKNOWN_COMMAND, command=F.col("command")))
     asked = asked.join(reports(stats.wins(done), asked.where(known)), KEY, "left").withColumn("text", text)
     note = lambda event: F.concat(F.lit('{"jsonrpc":"2.0","method":"command.output","params":{"request_id":'), _json(F.col("request")), F.lit(',"event":'), event, F.lit("}}"))
     parts = F.array(note(F.concat(F.lit('{"kind":"system","content":'), _json(F.col("text")), F.lit("}"))), note(F.lit('{"kind":"done"}')), response(F.lit('{"ok":true}')))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from densefold.functions.scalar import human_bytes, percent_saved
+from densefold import model
+from densefold.functions.scalar import filled, human_bytes, percent_saved
 
 
 def wins(done: DataFrame) -> DataFrame:
@@ -28,26 +29,27 @@ def with_total(done: DataFrame) -> DataFrame:
     return _sums(wins(done).rollup("label")).where("calls > 0")
 
 
+def _plural(n: Column) -> Column:
+    return F.when(n == 1, "").otherwise("s")
+
+
+def total_line(calls: Column, saved: Column, pct: Column) -> Column:
+    return filled(model.REPORT_TOTAL, saved=human_bytes(saved), calls=calls, s=_plural(calls), pct=pct)
+
+
+def label_line(label: Column, width: Column, calls: Column, saved: Column, pct: Column) -> Column:
+    """A label's line; labels are as wide as the widest, four at least, and the per cent two digits."""
+    two = F.lpad(pct.cast("string"), F.greatest(F.length(pct.cast("string")), F.lit(2)), F.lit(" "))
+    return filled(model.REPORT_ROW, label=F.rpad(label, F.greatest(width, F.lit(4)), F.lit(" ")), pct=two, calls=calls, s=_plural(calls), saved=human_bytes(saved))
+
+
 def report(done: DataFrame) -> DataFrame:
     """(line_no, line): the report as text. Its input is one row per label, so the sort is small at any scale."""
     per = with_total(done)
-    total = per.where("label is null").select(F.col("calls").alias("c"), F.col("saved").alias("s"), F.col("pct").alias("p"))
-    plural = lambda n: F.when(n == 1, "").otherwise("s")
-    rule = "─" * 31
-    head = total.select(
-        F.posexplode(F.array(
-            F.lit("densefold — context saved"),
-            F.concat(F.lit("   "), human_bytes(F.col("s")), F.lit(" saved across "), F.col("c").cast("string"), F.lit(" tool call"), plural(F.col("c")), F.lit("  ("), F.col("p").cast("string"), F.lit("% avg reduction)")),
-            F.lit("   " + rule),
-        )).alias("line_no", "line")
-    )
+    c = F.col
+    head = per.where("label is null").select(F.posexplode(F.array(F.lit(model.REPORT_HEAD), total_line(c("calls"), c("saved"), c("pct")), F.lit(model.REPORT_RULE))).alias("line_no", "line"))
     order, everything = Window.orderBy(F.desc("saved"), F.asc("label")), Window.partitionBy()
-    width = F.greatest(F.max(F.octet_length("label")).over(everything), F.lit(4))
-    pct = F.col("pct").cast("string")
-    line = F.concat(
-        F.lit("   "), F.rpad("label", width, F.lit(" ")), F.lit("  -"), F.when(F.length(pct) < 2, F.concat(F.lit(" "), pct)).otherwise(pct), F.lit("%   ("),
-        F.col("calls").cast("string"), F.lit(" call"), plural(F.col("calls")), F.lit(", "), human_bytes(F.col("saved")), F.lit(")"),
-    )
+    line = label_line(c("label"), F.max(F.octet_length("label")).over(everything), c("calls"), c("saved"), c("pct"))
     rows = per.where("label is not null").select((F.row_number().over(order) + 2).alias("line_no"), line.alias("line"))
-    none = per.groupBy().agg(F.count(F.lit(1)).alias("n")).where("n = 0").select(F.lit(0).alias("line_no"), F.lit("densefold — no compressions yet").alias("line"))
+    none = per.groupBy().agg(F.count(F.lit(1)).alias("n")).where("n = 0").select(F.lit(0).alias("line_no"), F.lit(model.REPORT_NONE).alias("line"))
     return head.unionByName(rows).unionByName(none)

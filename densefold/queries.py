@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -115,6 +117,14 @@ def columnar_unfold_ws(spark: S, sf: str) -> D:
     return columnar.unfold(_folded(spark, sf, derived.ls_listings(spark, sf), model.LS), "folded", "rows").select("blob_id", "rows")
 
 
+def ps_fold(spark: S, sf: str) -> D:
+    return _folded(spark, sf, derived.ps_listings(spark, sf), model.PS).select("blob_id", "folded")
+
+
+def ps_unfold(spark: S, sf: str) -> D:
+    return columnar.unfold(_folded(spark, sf, derived.ps_listings(spark, sf), model.PS), "folded", "rows").select("blob_id", "rows")
+
+
 def tabular_columns(spark: S, sf: str) -> D:
     rows = scalar.apart(derived.conversations_json(spark, sf), r=tabular.parse_rows(F.col("output"))).where("r is not null")
     return rows.select("blob_id", F.size("r").cast("bigint").alias("n_rows"), F.array_join(tabular.columns_of(F.col("r")), ",").alias("columns"))
@@ -136,6 +146,35 @@ def compress_blobs(spark: S, sf: str) -> D:
     return _done(spark, sf).select("blob_id", "source", "action", F.coalesce("label", F.lit("none")).alias("label"), "in_bytes", "out_bytes")
 
 
+def compress_results(spark: S, sf: str) -> D:
+    """What comes out of the policy: folded text under its provenance line, or the text as it was."""
+    return _done(spark, sf).select("blob_id", "source", "result")
+
+
+def other_kinds(spark: S, sf: str) -> D:
+    """Only finished calls that have an output are folded."""
+    done = policy.compress(derived.other_calls(spark, sf))
+    return done.select("blob_id", "action", F.coalesce("label", F.lit("none")).alias("label"), F.coalesce("in_bytes", F.lit(-1)).alias("in_bytes"), F.coalesce("out_bytes", F.lit(-1)).alias("out_bytes"))
+
+
+def session_commands(spark: S, sf: str) -> D:
+    """What is said to the commands of each session: reports as of then, and a word on unknown commands."""
+    said = session.answers(derived.messages(spark, sf)).where(F.get_json_object("body", "$.params.event.kind") == "system")
+    return said.select("session", F.get_json_object("body", "$.params.request_id").alias("request"), F.get_json_object("body", "$.params.event.content").alias("text"))
+
+
+def session_control(spark: S, sf: str) -> D:
+    """Answers to control messages, and how many there are; nothing behind the end of a session is answered."""
+    result = F.regexp_extract("body", '"result":(.*)}$', 1)
+    other = session.answers(derived.messages(spark, sf)).where("body LIKE '%\"result\":%' AND body NOT LIKE '%\"action\":%'")
+    return other.select("session", "frame_no", F.get_json_object("body", "$.id").alias("id"), result.alias("result"))
+
+
+def frame_log(spark: S, sf: str) -> D:
+    """What is said of bad frames."""
+    return session.log(derived.messages(spark, sf))
+
+
 def compress_documents(spark: S, sf: str) -> D:
     """The policy over all documents: nothing but the text chain applies."""
     docs = derived.table(spark, sf, "documents").select("doc_id", F.lit("after_tool_call").alias("kind"), F.lit("read").alias("tool_name"), F.lit("").alias("command"), F.col("text").alias("output"))
@@ -160,7 +199,12 @@ def stats_report(spark: S, sf: str) -> D:
 
 def _folder(spark: S, name: str) -> str:
     """A new folder under the one that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="densefold-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not (spark.sparkContext.master + "[").startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="densefold-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
     return f"{base.rstrip('/')}/{name}-{spark.sparkContext._jvm.java.util.UUID.randomUUID()}"
 
 
@@ -186,8 +230,8 @@ def stream_stats(spark: S, sf: str) -> D:
 
 QUERIES = {f.__name__: f for f in (
     size_floor, already_folded_guard, leading_program, dispatch_layout, dispatch_label, strip_ansi, rstrip_lines, collapse_blank_runs, dup_runs, collapse_dup_runs,
-    elide_blobs, common_prefix, text_chain, split_fixed_ws, split_fixed_char, column_encodings, dict_codes, columnar_fold, columnar_unfold_char, columnar_unfold_ws,
-    tabular_columns, tabular_fold, tabular_nested, compress_blobs, compress_documents, hook_responses, framed_sessions, stats_by_label, stats_with_total, stats_report, stream_stats,
+    elide_blobs, common_prefix, text_chain, split_fixed_ws, split_fixed_char, column_encodings, dict_codes, columnar_fold, columnar_unfold_char, columnar_unfold_ws, ps_fold, ps_unfold,
+    tabular_columns, tabular_fold, tabular_nested, compress_blobs, compress_results, other_kinds, compress_documents, hook_responses, session_commands, session_control, frame_log, framed_sessions, stats_by_label, stats_with_total, stats_report, stream_stats,
 )}
 
 # ---- DuckDB ----
@@ -225,6 +269,13 @@ _LS_LINES = """SELECT o_custkey // 20 AS blob_id, row_number() OVER (PARTITION B
 _LS_TEXT = f"""SELECT blob_id, 'total 9G'||chr(10)||string_agg(f[1]||'  1 root   staff '||f[5]||' '||f[6]||' '||f[7]||' '||f[8]||' '||tail, chr(10) ORDER BY line_no) AS output FROM ({_LS_LINES}) GROUP BY blob_id"""
 
 
+_PS_LINES = """SELECT o_custkey // 20 AS blob_id, row_number() OVER (PARTITION BY o_custkey // 20 ORDER BY o_orderkey) AS line_no,
+ [CASE o_orderstatus WHEN 'F' THEN 'root' WHEN 'O' THEN 'www-data' ELSE 'daemon' END, CAST(o_orderkey AS VARCHAR), CAST(o_orderkey % 10 AS VARCHAR)||'.5', '0.1', CAST(2000 + o_orderkey % 3 AS VARCHAR), CAST(o_custkey AS VARCHAR), '?', 'Ss',
+ strftime(o_orderdate, '%m:%d'), '0:0'||CAST(o_orderkey % 5 AS VARCHAR)] AS f, '/usr/bin/worker --id  '||CAST(o_orderkey AS VARCHAR) AS tail FROM orders"""
+_PS_TEXT = f"""SELECT blob_id, '{derived.PS_HEADER}'||chr(10)||string_agg(rpad(f[1], CASE f[1] WHEN 'www-data' THEN 9 ELSE CAST(length(f[1]) + CASE f[1] WHEN 'root' THEN 4 ELSE 2 END AS INT) END, ' ')||f[2]||'  '||f[3]||'  0.1 '||f[5]||'  '||f[6]||' ?        Ss   '||f[9]
+ ||'   '||f[10]||' '||tail, chr(10) ORDER BY line_no) AS output FROM ({_PS_LINES}) GROUP BY blob_id"""
+
+
 def _cells(lines: str) -> str:
     return f"SELECT blob_id, line_no, unnest(f) AS value, unnest(range(len(f))) AS col_no, tail FROM ({lines})"
 
@@ -261,6 +312,8 @@ _GIT_TEXT = f"SELECT blob_id, string_agg(array_to_string(f, '|')||'|'||tail, chr
 _GIT_FOLD = f"SELECT * FROM ({_fold(_GIT_LINES, model.GIT_LOG, '', _GIT_TEXT)}) WHERE strlen(folded) < strlen(output)"
 _TOTAL = "'total 9G'||chr(10)||"
 _LS_FOLD = f"SELECT * FROM ({_fold(_LS_LINES, model.LS, _TOTAL, _LS_TEXT)}) WHERE strlen(folded) < strlen(output)"
+_PS_HEAD = f"'{derived.PS_HEADER}'||chr(10)||"
+_PS_FOLD = f"SELECT * FROM ({_fold(_PS_LINES, model.PS, _PS_HEAD, _PS_TEXT)}) WHERE strlen(folded) < strlen(output)"
 _CELL = lambda c: f"CASE WHEN regexp_matches({c}, '[,\"\\n\\r]') THEN '\"'||replace({c}, '\"', '\"\"')||'\"' ELSE {c} END"
 _TABLE = f"""SELECT conv_id AS blob_id, count(*) AS n_rows, '{model.MARK_TABLE} '||CAST(count(*) AS VARCHAR)||' rows'||chr(10)||'turn,role,text'||chr(10)
  ||string_agg(CAST(turn AS VARCHAR)||','||{_CELL('role')}||','||{_CELL('text')}, chr(10) ORDER BY turn) AS folded,
@@ -279,8 +332,11 @@ def _judge(cases: str) -> str:
 
 _CASES = f"""SELECT r.blob_id, 'git' AS source, 'git_log' AS label, r.output, f.folded FROM ({_GIT_TEXT}) r LEFT JOIN ({_GIT_FOLD}) f USING (blob_id)
  UNION ALL SELECT r.blob_id, 'ls', 'ls', r.output, f.folded FROM ({_LS_TEXT}) r LEFT JOIN ({_LS_FOLD}) f USING (blob_id)
+ UNION ALL SELECT r.blob_id, 'ps', 'ps', r.output, f.folded FROM ({_PS_TEXT}) r LEFT JOIN ({_PS_FOLD}) f USING (blob_id)
  UNION ALL SELECT r.blob_id, 'json', 'tabular', r.output, f.folded FROM ({_ALL_JSON}) r LEFT JOIN ({_TABLE}) f USING (blob_id)"""
 _JUDGED = _judge(_CASES)
+_RESULTS = f"""SELECT blob_id, source, CASE WHEN action = 'replace' THEN '[{model.VERSION} '||CAST(in_bytes AS VARCHAR)||'→'||CAST(strlen(folded) AS VARCHAR)||' bytes (-'||CAST((in_bytes - strlen(folded)) * 100 // in_bytes AS VARCHAR)||'%)]'||chr(10)||folded
+ ELSE output END AS result FROM ({_JUDGED}) JOIN ({_CASES}) USING (blob_id, source)"""
 _SUMS = "count(*) AS calls, CAST(sum(in_bytes) AS BIGINT) AS input_bytes, CAST(sum(out_bytes) AS BIGINT) AS output_bytes, CAST(sum(in_bytes - out_bytes) AS BIGINT) AS saved, CAST(sum(in_bytes - out_bytes) * 100 // sum(in_bytes) AS BIGINT) AS pct"
 _BY_LABEL = f"SELECT label, {_SUMS} FROM ({_JUDGED}) WHERE action = 'replace' GROUP BY label"
 _WITH_TOTAL = f"SELECT coalesce(label, 'total') AS label, calls, input_bytes, output_bytes, saved, pct FROM (SELECT label, {_SUMS} FROM ({_JUDGED}) WHERE action = 'replace' GROUP BY ROLLUP (label)) WHERE calls > 0"
@@ -291,6 +347,10 @@ _REPORT = f"""WITH t AS ({_WITH_TOTAL}), g AS (SELECT * FROM t WHERE label = 'to
  UNION ALL SELECT 2, '   '||repeat('─', 31) FROM g
  UNION ALL SELECT row_number() OVER (ORDER BY saved DESC, label) + 2, '   '||rpad(label, CAST(w AS INT), ' ')||'  -'||CASE WHEN pct < 10 THEN ' ' ELSE '' END||CAST(pct AS VARCHAR)||'%   ('||CAST(calls AS VARCHAR)||' call'
  ||CASE WHEN calls = 1 THEN '' ELSE 's' END||', '||{_HUMAN('saved')}||')' FROM p"""
+_SAID = f"""SELECT source AS session, 'late' AS request, '{model.REPORT_HEAD}'||chr(10)||'   '||{_HUMAN('saved')}||' saved across '||CAST(calls AS VARCHAR)||' tool call'||CASE WHEN calls = 1 THEN '' ELSE 's' END||'  ('||CAST(pct AS VARCHAR)||'% avg reduction)'||chr(10)
+ ||'{model.REPORT_RULE}'||chr(10)||'   '||rpad(label, CAST(greatest(strlen(label), 4) AS INT), ' ')||'  -'||CASE WHEN pct < 10 THEN ' ' ELSE '' END||CAST(pct AS VARCHAR)||'%   ('||CAST(calls AS VARCHAR)||' call'||CASE WHEN calls = 1 THEN '' ELSE 's' END||', '||{_HUMAN('saved')}||')' AS text
+ FROM (SELECT source, label, {_SUMS} FROM ({_JUDGED}) WHERE action = 'replace' GROUP BY source, label)"""
+_SESSIONS = "(SELECT unnest(['git', 'ls', 'ps', 'json']) AS session)"
 _CHAIN1 = f"SELECT doc_id, {_ANSI} AS text FROM ({_DECORATED})"
 _CHAIN2 = f"SELECT doc_id, {_RSTRIP} AS text FROM ({_CHAIN1})"
 _CHAIN3 = f"SELECT doc_id, {_BLANK} AS text FROM ({_CHAIN2})"
@@ -320,6 +380,16 @@ ORACLES = {
     "columnar_fold": f"SELECT blob_id, folded FROM ({_GIT_FOLD})",
     "columnar_unfold_char": f"SELECT blob_id, output AS rows FROM ({_GIT_FOLD})",
     "columnar_unfold_ws": f"SELECT blob_id, 'total 9G'||chr(10)||string_agg(array_to_string(f, ' ')||' '||tail, chr(10) ORDER BY line_no) AS rows FROM ({_LS_LINES}) WHERE blob_id IN (SELECT blob_id FROM ({_LS_FOLD})) GROUP BY blob_id",
+    "ps_fold": f"SELECT blob_id, folded FROM ({_PS_FOLD})",
+    "ps_unfold": f"SELECT blob_id, {_PS_HEAD}string_agg(array_to_string(f, ' ')||' '||tail, chr(10) ORDER BY line_no) AS rows FROM ({_PS_LINES}) WHERE blob_id IN (SELECT blob_id FROM ({_PS_FOLD})) GROUP BY blob_id",
+    "compress_results": _RESULTS,
+    "other_kinds": f"""SELECT blob_id, CASE WHEN blob_id % 4 = 0 THEN action ELSE 'continue' END AS action, CASE WHEN blob_id % 4 = 0 THEN label ELSE 'none' END AS label, CASE WHEN blob_id % 4 = 3 THEN -1 ELSE in_bytes END AS in_bytes,
+ CASE WHEN blob_id % 4 = 0 THEN out_bytes WHEN blob_id % 4 = 3 THEN -1 ELSE in_bytes END AS out_bytes FROM ({_JUDGED}) WHERE source = 'git'""",
+    "session_commands": f"""SELECT session, 'early' AS request, '{model.REPORT_NONE}' AS text FROM {_SESSIONS} UNION ALL SELECT session, 'other', '{model.UNKNOWN_COMMAND.format(command='what').replace("'", "''")}' FROM {_SESSIONS}
+ UNION ALL SELECT session, 'late', coalesce(text, '{model.REPORT_NONE}') FROM {_SESSIONS} LEFT JOIN ({_SAID}) USING (session)""",
+    "session_control": f"""SELECT session, k[1] AS frame_no, CAST(k[1] AS VARCHAR) AS id, CASE k[2] WHEN 1 THEN '{{"protocol_version":{session.PROTOCOL},"capabilities":{{}}}}' WHEN 2 THEN '{{"ok":true}}' ELSE '{{}}' END AS result
+ FROM {_SESSIONS}, (SELECT unnest([[0, 1], [1, 2], [1099511627776, 2], [1099511627777, 2], [1099511627779, 3], [1099511627780, 3]]) AS k)""",
+    "frame_log": f"""SELECT session, unnest([2, 1099511627778]) AS frame_no, unnest(['{model.BAD_FRAME.format(error="missing Content-Length")}', '{model.BAD_FRAME.format(error="bad JSON: JSONDecodeError")}']) AS line FROM {_SESSIONS}""",
     "tabular_columns": "SELECT conv_id AS blob_id, count(*) AS n_rows, 'turn,role,text' AS columns FROM conversations GROUP BY conv_id HAVING count(*) >= 2",
     "tabular_fold": f"SELECT blob_id, folded FROM ({_TABLE})",
     "tabular_nested": f"SELECT blob_id, '{{\"version\":1,\"items\":'||CAST(to_json(folded) AS VARCHAR)||',\"ok\":true}}' AS folded FROM ({_TABLE})",

@@ -46,6 +46,22 @@ def ls_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _listing(rows, "blob", "o_orderkey", "line").withColumn("output", F.concat(F.lit("total 9G\n"), "output"))
 
 
+PS_HEADER = "USER         PID %CPU %MEM    VSZ   RSS TTY      STAT START   TIME COMMAND"
+
+
+def ps_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Process listings under a header line: constant, coded and plain columns, and a command that holds blanks."""
+    s = lambda e: F.expr(f"cast({e} as string)")
+    rows = _orders(spark, sf_dir).withColumn(
+        "line",
+        F.concat(
+            F.when(F.col("o_orderstatus") == "F", "root    ").when(F.col("o_orderstatus") == "O", "www-data ").otherwise("daemon  "), s("o_orderkey"), F.lit("  "), s("o_orderkey % 10"), F.lit(".5  0.1 "), s("2000 + o_orderkey % 3"),
+            F.lit("  "), s("o_custkey"), F.lit(" ?        Ss   "), F.date_format("o_orderdate", "MM:dd"), F.lit("   0:0"), s("o_orderkey % 5"), F.lit(" /usr/bin/worker --id  "), s("o_orderkey"),
+        ),
+    )
+    return _listing(rows, "blob", "o_orderkey", "line").withColumn("output", F.concat(F.lit(PS_HEADER + "\n"), "output"))
+
+
 def conversations_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One JSON array of objects per conversation."""
     rows = table(spark, sf_dir, "conversations")
@@ -99,5 +115,27 @@ def tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         of(git_listings(spark, sf_dir), "git", "bash", "git log --pretty=x")
         .unionByName(of(ls_listings(spark, sf_dir), "ls", "ls", ""))
+        .unionByName(of(ps_listings(spark, sf_dir), "ps", "bash", "ps aux"))
         .unionByName(of(conversations_json(spark, sf_dir), "json", "api", ""))
     )
+
+
+def other_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listings that would fold, as events of other kinds, without a kind, without an output, and of finished calls."""
+    kind = F.when(F.col("blob_id") % 4 == 0, "after_tool_call").when(F.col("blob_id") % 4 == 1, "before_tool_call").when(F.col("blob_id") % 4 == 3, "after_tool_call")
+    return git_listings(spark, sf_dir).select(
+        F.col("blob_id").cast("bigint").alias("blob_id"), kind.alias("kind"), F.lit("bash").alias("tool_name"), F.lit("git log").alias("command"), F.when(F.col("blob_id") % 4 != 3, F.col("output")).alias("output")
+    )
+
+
+def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages of a session for each source of tool calls: a start, the calls, a report, an unknown command, a bad frame, an end, and a report behind it."""
+    params = F.to_json(F.struct("kind", "tool_name", F.struct("command").alias("tool_input"), F.col("output").alias("tool_output")))
+    calls = tool_calls(spark, sf_dir).select(F.col("source").alias("session"), (F.col("blob_id") + 10).alias("frame_no"), F.col("blob_id").cast("string").alias("id"), F.lit("hook.handle").alias("method"), params.alias("params"), F.lit(None).cast("string").alias("error"))
+    last = 1 << 40
+    fixed = [
+        (0, "initialize", None, None), (1, "command.invoke", '{"command":"densefold","request_id":"early"}', None), (2, None, None, "missing Content-Length"), (last, "command.invoke", '{"command":"/densefold","request_id":"late"}', None),
+        (last + 1, "command.invoke", '{"command":"what","request_id":"other"}', None), (last + 2, None, None, "bad JSON: JSONDecodeError"), (last + 3, "info.get", None, None), (last + 4, "shutdown", None, None), (last + 5, "command.invoke", '{"command":"","request_id":"behind"}', None),
+    ]
+    rows = [(x, k, None if m is None else str(k), m, p, e) for x in ("git", "ls", "ps", "json") for k, m, p, e in fixed]
+    return calls.unionByName(spark.createDataFrame(rows, "session string, frame_no long, id string, method string, params string, error string"))

@@ -15,10 +15,9 @@ def from_json_lines(raw: Column) -> Column:
 
 
 def to_blobs(events: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """(blob_id, kind, tool_name, command, output) of events with the fields of SCHEMA."""
-    return events.where(F.col("tool_output").isNull() | (F.octet_length("tool_output") <= max_bytes)).select(
-        "blob_id", "kind", F.coalesce("tool_name", F.lit("")).alias("tool_name"), F.coalesce("tool_input.command", F.lit("")).alias("command"), F.col("tool_output").alias("output")
-    )
+    """(blob_id, kind, tool_name, command, output) of events with the fields of SCHEMA. An output that is too large isn't looked at: its event goes on with none, and is answered so."""
+    output = F.when(F.octet_length("tool_output") <= max_bytes, F.col("tool_output"))
+    return events.select("blob_id", "kind", F.coalesce("tool_name", F.lit("")).alias("tool_name"), F.coalesce("tool_input.command", F.lit("")).alias("command"), output.alias("output"))
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
