@@ -78,5 +78,30 @@ def test_register_adds_a_layout(spark):
         assert fold(spark, [t], "csvlog")[0][1] == t
     finally:
         del model._registry["csvlog"]
+    for bad in ("::", "\t", " ", "A", "7", "=", "@", ""):
+        with pytest.raises(ValueError, match="delimiter"):
+            model.register(model.Layout("x", ("a",), "t", delim=bad))
+    for cols in (("a b",), ("a=",), ("a;b",), ("",)):
+        with pytest.raises(ValueError, match="names"):
+            model.register(model.Layout("x", cols, "t", delim=";"))
     with pytest.raises(ValueError, match="column"):
         model.register(model.Layout("x", (), "t"))
+
+
+@pytest.mark.parametrize("delim", list(";,:|#!^~%&*+-/<>?$(") + ["\\", "\u00a6"])
+def test_every_delimiter_unfolds(spark, delim):
+    model.register(model.Layout("own", ("a", "b", "c"), "rest", delim=delim, programs=("own",)))
+    try:
+        t = "\n".join(delim.join(["same value here", f"{'one two' if i % 2 else 'three four'}", str(i), f"tail{delim}{i}"]) for i in range(30))
+        ((folded, back),) = fold(spark, [t], "own")
+        assert folded is not None and back == t
+    finally:
+        del model._registry["own"]
+
+
+def test_process_listing(spark):
+    head = "USER       PID %CPU %MEM    VSZ   RSS TTY      STAT START   TIME COMMAND"
+    rows = [f"{'root' if i % 2 else 'daemon'}  {100 + i}  0.0  0.1 {2000 + i} 10 ?  Ss  Jan01  0:0{i % 3} /sbin/init  --x {i}" for i in range(40)]
+    ((folded, back),) = fold(spark, [head + "\n" + "\n".join(rows)], "ps")
+    assert folded.startswith(head + "\n") and "USER A=daemon B=root" in folded and "%CPU=0.0" in folded
+    assert back.split("\n")[0] == head and back.split("\n")[1] == "daemon 100 0.0 0.1 2000 10 ? Ss Jan01 0:00 /sbin/init  --x 0"

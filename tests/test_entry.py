@@ -34,3 +34,10 @@ def test_names():
 def test_without_the_subpackage():
     done = subprocess.run([sys.executable, "-c", WITHOUT], cwd=ROOT, capture_output=True, text=True, timeout=120)
     assert done.returncode == 0, done.stderr
+
+
+def test_a_broken_import_inside_is_seen():
+    """Only the absence of the subpackage itself is taken for granted."""
+    code = WITHOUT.replace('("densefold.llm", "corpus_pipeline")', '("xxhash",)').split("assert e.queries")[0]
+    done = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True, timeout=120)
+    assert os.path.isdir(os.path.join(ROOT, "densefold", "llm")) == (done.returncode != 0 and "xxhash" in done.stderr)

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from densefold.operators import columnar
 from densefold.plans import stats
 from densefold.plans.compress import compress, responses
 from densefold.sources import events
@@ -47,8 +48,26 @@ def test_savings_limit(spark):
 def test_first_fold_that_shrinks_blocks_the_rest(spark):
     """A small columnar win goes first, so that a larger text win isn't looked for, and the gate then says no."""
     line = "r 1 o g 1K Jan 1 12:00 " + "n" * 30 + " " * 40
-    got = run(spark, [after("\n".join(line + str(i) for i in range(40)), "ls"), after("\n".join(line + str(i) for i in range(40)), "read")])
-    assert got[0].label == "ls" or got[0].action == "continue"
+    listing = "\n".join(line + str(i) for i in range(40))
+    got = run(spark, [after(listing, "ls"), after(listing, "read")])
+    assert (got[0].action, got[0].label) == ("replace", "ls") and "@dense/1.cols" in got[0].result
+    assert got[1].action == "continue"
+    # 40 rows whose only constant columns are short: folded, but by less than the gate asks for, though the cleaned text would pass it.
+    rows = "\n".join(f"r{i} {i} o{i} g{i} {i}K J{i} {i} 12:{i} name{i}{' ' * 60}" for i in range(39)) + "\n" + "\n".join(["r0 0 o0 g0 0K J0 0 12:0 name0"] * 3)
+    both = run(spark, [after(rows, "ls"), after(rows, "read")])
+    assert both[1].label == "text" and (both[0].action == "continue" or both[0].label != "ls")
+
+
+def test_names_of_other_columns_dont_matter(spark):
+    """Names that are used inside stay what they were; names of the result are replaced, and stand once."""
+    text = "a" * 900 + "\n" + "b\n" * 800
+    names = ["_in", "_n", "_won", "_kept0", "_text", "_rows", "__t_lines", "a.b", "in_bytes", "label"]
+    df = spark.createDataFrame([(1, "after_tool_call", "x", "", text, *names)], SCHEMA + "".join(f", `{n}` string" for n in names))
+    (r,) = compress(df).collect()
+    assert r.action == "replace" and r.label == "text" and r.in_bytes == len(text)
+    assert all(r[n] == n for n in names if n not in ("in_bytes", "label")) and len(r) == len(set(r.__fields__))
+    (r,) = columnar.unfold(columnar.fold(df.withColumn("_label", F.lit("ls")), "output", "_label", "_ln"), "output", "_sep").collect()
+    assert r._in == "_in" and r._label == "ls" and r._ln is None and r._sep is None and r._n == "_n"
 
 
 def test_report(spark):
@@ -66,3 +85,9 @@ def test_events_are_read_leniently(spark):
     got = events.to_blobs(df).collect()
     assert [r.output for r in got] == ["x", None, None, None] and got[0].command == "ls"
     assert [r.response for r in responses(compress(events.to_blobs(df))).collect()] == ['{"action":"continue"}'] * 4
+
+
+def test_outputs_that_are_too_large_are_answered(spark):
+    df = spark.createDataFrame([(1, "after_tool_call", "x", "a\n" * 4000), (2, "after_tool_call", "x", "a\n" * 2000)], "blob_id long, kind string, tool_name string, tool_output string").withColumn("tool_input", F.struct(F.lit("").alias("command")))
+    got = {r.blob_id: r.action for r in compress(events.to_blobs(df, max_bytes=5000)).collect()}
+    assert got == {1: "continue", 2: "replace"}

@@ -73,5 +73,23 @@ def test_answers_are_written_as_frames(spark, folder, tmp_path):
     assert back.count() == 16 and back.where("error IS NOT NULL").count() == 0
 
 
+def test_bad_frames_are_told(spark, folder):
+    lines = {(r.session, r.frame_no): r.line for r in session.log(frames.read(spark, folder)).collect()}
+    assert lines == {("one", 3): "bad frame: missing Content-Length; going on with the next one", ("one", 7): "bad frame: bad JSON: JSONDecodeError; going on with the next one", ("two", 2): "bad frame: frame cut short; going on with the next one"}
+
+
+def test_reports_count_what_was_before_them(spark):
+    """Many reports in one session, over wins of two labels: each as of its place."""
+    wins = spark.createDataFrame([("s", k, "ls" if k % 3 else "text", 1000 * k, 100) for k in range(1, 60, 2)] + [("t", 5, "ls", 10, 1)], "session string, frame_no long, label string, in_bytes long, out_bytes long")
+    asked = spark.createDataFrame([("s", k) for k in range(0, 62, 2)] + [("u", 1)], "session string, frame_no long")
+    got = {(r.session, r.frame_no): r.report for r in session.reports(wins, asked).collect()}
+    assert set(got) == {("s", k) for k in range(2, 62, 2)}
+    for (_, k), text in got.items():
+        before = [j for j in range(1, 60, 2) if j < k]
+        assert f"saved across {len(before)} tool call{'s' if len(before) > 1 else ''} " in text
+        assert text.count("\n") == 2 + len({bool(j % 3) for j in before})
+        assert text.split("\n")[3:] == sorted(text.split("\n")[3:], key=lambda x: -int(sum(1000 * j - 100 for j in before if (j % 3 > 0) == x.strip().startswith("ls"))))
+
+
 def test_empty_folder(spark, tmp_path):
     assert session.answers(frames.read(spark, str(tmp_path))).collect() == []
