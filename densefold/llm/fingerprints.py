@@ -220,7 +220,8 @@ def with_next(spark: SparkSession, docs: DataFrame) -> DataFrame:
     order = Window.orderBy("bucket")
     borders = ids.select("bucket", "least", F.coalesce(F.lead("most").over(order), F.max("most").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("most"))
     sides = borders.select("bucket", F.explode(F.array(F.struct(F.lit(True).alias("own"), F.col("least").alias("doc_id")), F.struct(F.lit(False).alias("own"), F.col("most").alias("doc_id")))).alias("side"))
-    read = given.join(sides.select("bucket", "side.*"), "doc_id").withColumn("text", F.coalesce("text", F.lit("")))
+    # Broadcast: two rows of two numbers for each of the n buckets, whatever the input.
+    read = given.join(F.broadcast(sides.select("bucket", "side.*")), "doc_id").withColumn("text", F.coalesce("text", F.lit("")))
     ends = read.groupBy("bucket").agg(F.min(F.when(F.col("own"), F.col("doc_id"))).alias("doc_id"), F.min(F.when(F.col("own"), F.col("text"))).alias("text"), F.max(F.when(~F.col("own"), F.col("text"))).alias("following"))
     ends = ends.select("doc_id", "text", "following").mapInArrow(_edges, SCHEMA)
     dealt = given.mapInArrow(deal, DEALT).repartitionById(n, F.col("bucket")).sortWithinPartitions(F.desc("doc_id"), F.desc("text"))
