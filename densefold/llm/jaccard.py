@@ -304,17 +304,6 @@ def _sets(words: int, bits):
     return run
 
 
-def _only(bits):
-    """Rows whose id passes the filter."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = np.unpackbits(bits.value).astype(bool)
-        for batch in batches:
-            yield batch.filter(pa.array(wanted[_filter_bit(column(batch, "id").to_numpy(zero_copy_only=False))]))
-
-    return run
-
-
 def _possible(num: int, den: int, also: list[str] = ()):
     """Pairs whose signatures leave room for the similarity."""
 
@@ -387,11 +376,10 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, words: int = 5, num
             bits[row["slice"]] = np.frombuffer(row["blob"], np.uint8)
         return spark.sparkContext.broadcast(bits.reshape(-1))
 
-    sets = work.save(docs.mapInArrow(_sets(words, id_filter(ends(pairs).unionByName(ends(others)).unionByName(long.select(F.col("doc").alias("id"))))), "id long, tokens binary"), "sets")
-
     def verified(two: DataFrame, name: str) -> DataFrame:
-        needed = sets.mapInArrow(_only(id_filter(ends(two))), "id long, tokens binary")
-        # Sets have no size bound, so they are shuffled at every size of the input, never broadcast.
+        # Sets are made anew from the texts of the ids that a step needs: quicker than to keep them all, which would take more room than the texts do.
+        needed = docs.mapInArrow(_sets(words, id_filter(ends(two))), "id long, tokens binary")
+        # They have no size bound, so they are shuffled at every size of the input, never broadcast.
         with_b = two.join(needed.select(F.col("id").alias("b"), F.col("tokens").alias("sb")).hint("merge"), "b")
         with_a = with_b.join(needed.select(F.col("id").alias("a"), F.col("tokens").alias("sa")).hint("merge"), "a")
         return work.save(with_a.select("a", "b", "sa", "sb").mapInArrow(_verify(num, den), "a long, b long, both long, na long, nb long, linked boolean"), name)
