@@ -15,9 +15,12 @@ so that dealing by anchor sends one record for some ``span / 2`` suffixes.
    The least document of each equal group keeps its window; the same windows of others are repeated.
 3. The covered bytes are cut from the texts.
 
-Of equal whole texts within a task only the one of the least id takes part; the others are known to go from end to end. Records travel in blocks; a reducer reads the groups of its anchors, of which the
-largest is that of a string which all documents hold: one record for each document. Such a group is worked off in chunks in order of doc_id
-against the windows seen so far, so what it holds grows with the different windows, not with the documents.
+Of equal whole texts within a task only the one of the least id takes part; the others are known to go from end to end. The same holds of parts:
+an anchor that two documents of a task hold is known to be shared, so one record of it is sent; and of anchors whose windows are all equal
+only those of the task's least document are sent, as the others' windows are known to be repeated. So the group of a passage that all documents hold
+has some records per task, not one per document. Records travel in blocks; a group whose windows differ (a short string in ever new
+surroundings) has a record for each document and is worked off in chunks in order of doc_id against the windows seen so far, so what it holds
+grows with the different windows, not with the documents.
 
 Null texts count as empty. Rows with a null id are left out. Rows that repeat an id and its text give as many equal results; an id must not have
 two texts. Other columns are ignored.
@@ -129,6 +132,12 @@ class _Sender:
         self.buckets.append(bucket)
         self.n += rows.nbytes
 
+    def held(self) -> tuple[np.ndarray, np.ndarray]:
+        """The records so far and their buckets, which are held no more."""
+        got = np.concatenate(self.rows), np.concatenate(self.buckets)
+        self.rows, self.buckets, self.n = [], [], 0
+        return got
+
     def out(self, least: int = 1) -> Iterator[pa.RecordBatch]:
         if self.n >= least:
             batch = packed(np.concatenate(self.rows), np.concatenate(self.buckets), self.kind)
@@ -143,6 +152,26 @@ def _send_anchors(length: int, span: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         least: dict[bytes, int] = {}
         sender, copies = _Sender(0), _Sender(1)
+
+        def shared_here() -> None:
+            """Anchors that several documents of this task hold: their places are known, and one record tells the other tasks."""
+            if not sender.n:
+                return
+            rows, bucket = sender.held()
+            key = rows["hash"].astype(np.uint64) << np.uint64(32) | bucket.astype(np.uint64)
+            order = np.argsort(key, kind="stable")
+            key, doc = key[order], rows["doc"][order]
+            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            several = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
+            several = np.repeat(several, np.diff(np.r_[first, len(key)]))
+            places = np.empty(int(several.sum()), PLACE)
+            places["doc"], places["pos"] = doc[several], rows["pos"][order][several]
+            if len(places):
+                copies.add(places, _bucket(places["doc"], buckets))
+            several[first] = False
+            chosen = order[~several]
+            sender.add(rows[chosen], bucket[chosen])
+
         for batch in batches:
             for doc, text in texts(batch):
                 b = _bytes(text)
@@ -162,7 +191,11 @@ def _send_anchors(length: int, span: int, buckets: int):
                 rows = np.empty(len(at), ANCHOR)
                 rows["hash"], rows["pos"], rows["doc"] = h >> np.uint64(32), at, doc
                 sender.add(rows, _anchor_bucket(h, buckets))
-            yield from sender.out(HELD * ANCHOR.itemsize)
+            if sender.n >= HELD * ANCHOR.itemsize:
+                shared_here()
+                yield from sender.out()
+            yield from copies.out(HELD * PLACE.itemsize)
+        shared_here()
         yield from sender.out()
         yield from copies.out()
 
@@ -190,7 +223,8 @@ def _shared_anchors(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passed: list[pa.RecordBatch] = []
         a = _blobs(batches, ANCHOR, passed)
-        yield from passed
+        for batch in passed:  # places that are known, from here on like the others
+            yield batch.set_column(batch.schema.get_field_index("kind"), "kind", pa.array(np.zeros(batch.num_rows, np.int32)))
         if not len(a):
             return
         order = np.argsort(a["hash"], kind="stable")
@@ -233,6 +267,32 @@ def _window_dtype(length: int, span: int) -> np.dtype:
     return np.dtype([("hash", "<u4"), ("pos", "<i4"), ("doc", "<i8"), ("lo", "<i2"), ("hi", "<i2"), ("bytes", "V", length + span - 1)])
 
 
+def _merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Spans, joined where those of a document meet. Of a document, one that starts later doesn't end sooner."""
+    o = np.lexsort((end, start, doc))
+    doc, start, end = doc[o], start[o], end[o]
+    new = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (start[1:] > end[:-1])])
+    out = np.empty(len(new), SPAN)
+    out["doc"], out["start"], out["end"] = doc[new], start[new], end[np.r_[new[1:], len(doc)] - 1]
+    return out
+
+
+def _equal_to_lesser(rows: np.ndarray) -> np.ndarray:
+    """Which anchors have all windows in common with one of a lesser document here."""
+    flat = np.ascontiguousarray(rows["bytes"]).view(np.uint8).reshape(len(rows), -1)
+    words = np.zeros((len(rows), -(-flat.shape[1] // 8) * 8), np.uint8)
+    words[:, : flat.shape[1]] = flat
+    words = words.view("<u8")
+    around = rows["lo"].astype(np.int64) << 16 | rows["hi"]
+    order = np.lexsort((rows["doc"], _finger(words) ^ rows["hash"]))
+    around, words, doc = around[order], words[order], rows["doc"][order]
+    # Equal fingerprints of different bytes at most part a group, which sends more than it need.
+    first = np.flatnonzero(np.r_[True, (around[1:] != around[:-1]) | (words[1:] != words[:-1]).any(axis=1)])
+    again = np.empty(len(rows), bool)
+    again[order] = doc > np.repeat(np.minimum.reduceat(doc, first), np.diff(np.r_[first, len(rows)]))
+    return again
+
+
 def _send_windows(length: int, span: int, buckets: int):
     dtype, wide = _window_dtype(length, span), length + span - 1
 
@@ -240,6 +300,19 @@ def _send_windows(length: int, span: int, buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sender, whole = _Sender(0, squeeze=True), _Sender(1)
+
+        def repeated_here() -> None:
+            if not sender.n:
+                return
+            rows, bucket = sender.held()
+            again = _equal_to_lesser(rows)
+            if again.any():
+                gone = rows[again]
+                spans = _merged(gone["doc"], gone["pos"] - gone["hi"], gone["pos"] - gone["lo"] + length)
+                whole.add(spans, _bucket(spans["doc"], buckets))
+                rows, bucket = rows[~again], bucket[~again]
+            sender.add(rows, bucket)
+
         for by, batch in _records_then_texts(batches, PLACE):
             for doc, text in texts(batch):
                 mine = by.get(doc)
@@ -263,7 +336,11 @@ def _send_windows(length: int, span: int, buckets: int):
                 covers = (place >= (span - 1 - rows["hi"])[:, None]) & (place < (span - 1 - rows["lo"] + length)[:, None])
                 rows["bytes"] = np.ascontiguousarray(around * covers).view(f"V{wide}").ravel()
                 sender.add(rows, _anchor_bucket(h, buckets))
-            yield from sender.out(HELD * 100)
+            if sender.n >= HELD * 100:
+                repeated_here()
+                yield from sender.out()
+            yield from whole.out(HELD * SPAN.itemsize)
+        repeated_here()
         yield from sender.out()
         yield from whole.out()
 
@@ -324,11 +401,7 @@ def _repeats(length: int, span: int, buckets: int):
 
         def send(doc: np.ndarray, start: np.ndarray) -> None:
             if len(doc):
-                o = np.lexsort((start, doc))
-                doc, start = doc[o], start[o]
-                new = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + length)])
-                out = np.empty(len(new), SPAN)
-                out["doc"], out["start"], out["end"] = doc[new], start[new], start[np.r_[new[1:], len(doc)] - 1] + length
+                out = _merged(doc, start, start + length)
                 sender.add(out, _bucket(out["doc"], buckets))
 
         def whole(part: np.ndarray) -> None:

@@ -82,3 +82,31 @@ def test_repeated_rows(spark):
     text = "a text of more than fifty bytes, which stands in its table twice"
     got = substrings.remove_repeats(spark, documents(spark, [(5, text), (5, text), (7, text)]).coalesce(1), 50).collect()
     assert sorted((r.doc_id, r.n_removed) for r in got) == [(5, 0), (5, 0), (7, len(text))]
+
+
+def test_a_shared_passage_sends_few_records():
+    """However many documents of a task hold a passage, each of its anchors goes out once, and its inner windows once."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    passage = " ".join(words(rng, 60))
+    length, span = 50, 35
+    inner = len(substrings.anchor_runs(passage.encode(), length, span)[0])
+    sent = {}
+    for n in (20, 200):
+        rows = [(i, f"{i}{passage}") for i in range(n)]
+        docs = pa.RecordBatch.from_pydict({"doc_id": [i for i, _ in rows], "text": [t for _, t in rows]})
+        out = list(substrings._send_anchors(length, span, 1)(iter([docs])))
+        anchors = sum(len(x.as_buffer()) // substrings.ANCHOR.itemsize for b in out for x, k in zip(b.column(2), b.column(1).to_pylist(), strict=True) if k == 0)
+        places = list(substrings._shared_anchors(1)(iter(out)))
+        texts = pa.RecordBatch.from_pydict({"bucket": pa.array([0] * n, pa.int32()), "kind": pa.array([1] * n, pa.int32()), "blob": pa.nulls(n, pa.binary()), "doc_id": [i for i, _ in rows], "text": [t for _, t in rows]})
+        out = list(substrings._send_windows(length, span, 1)(iter([*places, texts])))
+        passed = []
+        windows = substrings._blobs(iter(out), substrings._window_dtype(length, span), passed, squeezed=True)
+        sent[n] = anchors, len(windows)
+        spans = np.concatenate([np.frombuffer(x.as_buffer(), substrings.SPAN) for b in passed for x in b.column(2)])
+        assert len(np.unique(spans["doc"])) == n - 1 and 0 not in spans["doc"]
+    # Only the anchors that cover the number in front differ from document to document.
+    assert sent[200][0] - sent[20][0] <= 3 * 180 and sent[200][1] - sent[20][1] <= 3 * 180
+    assert sent[200][0] < 200 * inner / 4
