@@ -12,7 +12,7 @@ vectors the one of the least id is kept.
   outgrows a task. Only counts and a spanning set of links leave a block, never all pairs.
 
 Vectors that are null, empty, all zero, or hold null or non-finite components, and vectors without a label, link with nothing. Vectors of
-different length don't link. Ids must be unique and not null (rows with a null id are left out); other columns are ignored.
+different length don't link; the 100 commonest lengths get cells, others are one cell a label, compared block by block. Ids must be unique and not null (rows with a null id are left out); other columns are ignored.
 """
 
 from __future__ import annotations
@@ -73,6 +73,7 @@ def _assign(fitted, margin: float):
     """Each representative in its home cell and in those it lies near to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        distances: dict[int, np.ndarray] = {}  # between the centroids, made once a task
         for batch in batches:
             dims = np.array(column(batch, "dim").to_pylist())
             blobs = column(batch, "vector").to_pylist()
@@ -83,7 +84,9 @@ def _assign(fitted, margin: float):
                     row, cell, home = np.arange(len(rows)), np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
                     visits = [b"\x80"] * len(rows)
                 else:
-                    apart = np.sqrt(np.maximum(2 - 2 * (c @ c.T), 1e-12))
+                    if dim not in distances:
+                        distances[dim] = np.sqrt(np.maximum(2 - 2 * (c @ c.T), 1e-12))
+                    apart = distances[dim]
                     row, cell, home, visits = [], [], [], []
                     for start in range(0, len(rows), 1024):  # rows by cells, block by block
                         sims = unit([blobs[i] for i in rows[start : start + 1024]]) @ c.T
