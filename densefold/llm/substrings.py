@@ -19,7 +19,7 @@ Of equal whole texts within a task only the one of the least id takes part; the
 an anchor that two documents of a task hold is known to be shared, so one record of it is sent; and of anchors whose windows are all equal
 only those of the task's least document are sent, as the others' windows are known to be repeated. So the group of a passage that all documents hold
 has some records per task, not one per document. Records travel in blocks; a group whose windows differ (a short string in ever new
-surroundings) has a record for each document and is worked off in chunks in order of doc_id against the windows seen so far, so what it holds
+surroundings) has a record for each document and is worked off in chunks of bounded bytes in order of doc_id against the windows seen so far, so what it holds
 grows with the different windows, not with the documents.
 
 Null texts count as empty. Rows with a null id are left out. Rows that repeat an id and its text give as many equal results; an id must not have
@@ -41,7 +41,8 @@ from densefold.llm.common import PACKED, Scratch, column, id_text, n_buckets, pa
 
 #: Records that a task holds before it sends them.
 HELD = 400_000
-CHUNK = 16_384
+#: Bytes of windows that are ordered at once.
+CHUNK = 16 << 20
 ANCHOR = np.dtype([("hash", "<u4"), ("pos", "<i4"), ("doc", "<i8")])
 PLACE = np.dtype([("doc", "<i8"), ("pos", "<i4")])
 SPAN = np.dtype([("doc", "<i8"), ("start", "<i4"), ("end", "<i4")])
@@ -397,6 +398,9 @@ def _repeats(length: int, span: int, buckets: int):
         order = np.lexsort((rows["doc"], rows["hash"]))
         first = np.flatnonzero(np.r_[True, rows["hash"][order][1:] != rows["hash"][order][:-1]])
         ends = np.r_[first[1:], len(order)]
+        upto = np.r_[0, np.cumsum(rows["hi"][order].astype(np.int64) - rows["lo"][order] + 1)]  # windows of the anchors before each
+        by_group = upto[ends]
+        most = max(1, CHUNK // (length + -length % 8))
         sender = _Sender(0)
 
         def send(doc: np.ndarray, start: np.ndarray) -> None:
@@ -412,11 +416,12 @@ def _repeats(length: int, span: int, buckets: int):
             again = doc > least[group]
             send(doc[again], start[o][again].astype(np.int64))
 
-        def in_chunks(group: np.ndarray) -> None:
+        def in_chunks(a: int, end: int) -> None:
             """One anchor of very many documents, in order of doc_id: least document of each window so far."""
             known: dict[bytes, int] = {}
-            for a in range(0, len(group), CHUNK):
-                part = rows[group[a : a + CHUNK]]
+            while a < end:
+                b = min(end, max(a + 1, int(np.searchsorted(upto, upto[a] + most, "right")) - 1))
+                part = rows[order[a:b]]
                 row, start, words = _windows_of(part, length, span)
                 o, equal = _equal_groups(words, _finger(words))
                 doc = part["doc"][row[o]]
@@ -425,16 +430,16 @@ def _repeats(length: int, span: int, buckets: int):
                 least = np.array([known.setdefault(words[o[i]].tobytes(), int(d)) for i, d in zip(at, least, strict=True)], np.int64)
                 again = doc > least[equal]
                 send(doc[again], start[o][again].astype(np.int64))
+                a = b
 
         a = 0
         while a < len(first):
-            b = a + 1
-            while b < len(first) and ends[b] - first[a] <= CHUNK:
-                b += 1
-            if ends[a] - first[a] > CHUNK:
-                in_chunks(order[first[a] : ends[a]])
-            else:
+            b = int(np.searchsorted(by_group, upto[first[a]] + most, "right"))
+            if b > a:
                 whole(rows[order[first[a] : ends[b - 1]]])
+            else:
+                b = a + 1
+                in_chunks(first[a], ends[a])
             a = b
             yield from sender.out(HELD * SPAN.itemsize)
         yield from sender.out()
