@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 #: Spark's own setting that deletes the shuffle files of an execution when it ends.
 FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Bytes of an Arrow batch while a step is written, where the session sets none: the JVM and the worker hold a batch or two each, for every task that runs.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 8 << 20
 #: Bytes of (compressed) input a bucket should stand for: what a task sorts in memory is some ten times that at most.
 BUCKET_BYTES = 32 << 20
 
@@ -57,12 +60,15 @@ class Scratch:
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Write a step and read it back. The shuffle files that it needed go as soon as it is written."""
-        before = self.spark.conf.get(FREE_SHUFFLES, "false")
-        self.spark.conf.set(FREE_SHUFFLES, "true")
+        before = {k: self.spark.conf.get(k, None) for k in (FREE_SHUFFLES, BATCH)}
+        during = {FREE_SHUFFLES: "true", BATCH: before[BATCH] or str(BATCH_BYTES)}
         try:
+            for k, v in during.items():
+                self.spark.conf.set(k, v)
             df.write.parquet(f"{self.path}/{name}")
         finally:
-            self.spark.conf.set(FREE_SHUFFLES, before)
+            for k, v in before.items():
+                self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
     def drop(self, *names: str) -> None:
